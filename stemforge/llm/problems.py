@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemforge.llm import bpe, near_duplicates, packing, proportions, splitting
+from stemforge.llm import bpe, near_duplicates, packing, proportions, splitting, truncation
 from stemforge.sources.tables import table
 
 _DIMENSIONS = {"difficulty": "difficulty", "chapters": "chapter", "bloom_level": "bloom_level"}
@@ -75,7 +75,15 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
         sized = table(spark, d, "documents").select("doc_id", bpe.token_lengths(F.col("text"), name).alias("n_tokens"))
         one = packing.pack_items(sized, "doc_id", "n_tokens", containers.where(F.col("tokenizer") == name), "container_kind", "capacity_tokens")
         out = one if out is None else out.unionByName(one)
-    return out.withColumnRenamed("item_key", "doc_id")
+    return out
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, d, "documents"), "doc_id", "text", "source").where("is_cut").select("doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(truncation.find_truncated(table(spark, d, "documents"), "doc_id", "text", "source"), "source")
 
 
 QUERIES = {
@@ -88,6 +96,8 @@ QUERIES = {
     "p4_classes": p4_classes,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 
 _TARGETS_SQL = r"""
