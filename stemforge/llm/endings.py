@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 4000
 #: Words of the longest context, and how often a context must occur in the sample to be kept.
 CONTEXT, KEPT_FROM = 4, 2
+#: Texts of the sample that must end with a line before that line is an ending by itself.
+COMMON_LAST_LINE = 5
 #: Kana and ideographs, which are tokens by themselves.
 _WIDE = "぀-ヿ㐀-鿿豈-﫿"
 _TOKEN = re.compile(rf"[{_WIDE}]|[^\W\d_{_WIDE}]+(?:['’][^\W\d_{_WIDE}]+)*|\d+(?:[.,]\d+)*|\n|[^\w\s]")
@@ -35,6 +37,7 @@ _TERMINAL = re.compile(rf"[{re.escape(STOPS)}][{re.escape(_CLOSERS)}\s]*$")
 _PICTURES = re.compile("[\\s←-⯿︎️‍☀-➿\U0001f000-\U0001faff]+$")
 #: Marks in place of a lost end.
 MARK = re.compile(r"\s*(?:[\[(<{]\s*(?:\.{3,}|…|more|cut|truncated|continued|snip)\s*[\])>}]|…+|(?<!\.)\.{3}|�+)\s*$", re.IGNORECASE)
+_WIDE_TOKEN = re.compile(f"[{_WIDE}]")
 _FENCE = re.compile(r"(?m)^\s*```")
 _SENTENCE = re.compile(rf"(?<=[{re.escape(STOPS)}])\s")
 
@@ -95,10 +98,13 @@ class Endings:
         """Share of ends among all places."""
         return float(self.ended.sum() + 1) / float(self.seen.sum() + 2)
 
+    def knows(self, word: str) -> bool:
+        i = bisect_left(self.words, word)
+        return i < len(self.words) and self.words[i] == word
+
     def begins_longer(self, word: str) -> bool:
+        """Whether a known word begins with ``word``, which is none."""
         i = bisect_left(self.words, word)
-        while i < len(self.words) and self.words[i] == word:
-            i += 1
         return i < len(self.words) and self.words[i].startswith(word)
 
     def chance(self, text: str) -> float:
@@ -111,8 +117,9 @@ class Endings:
         chance = self.usual
         keys = contexts(words, len(words))
         last = words[-1]
-        seen, _ = self.count(keys[0])
-        if seen < 2 and last.isalpha() and last != "N" and len(last) < 25:
+        if self.count(_line_key(words, len(words)))[0] >= COMMON_LAST_LINE:
+            return 0.99
+        if last.isalpha() and last != "N" and len(last) < 25 and not _WIDE_TOKEN.match(last) and not self.knows(last):
             # a word that is not known: most likely the first part of one that is
             return 0.01 if self.begins_longer(last) else 0.08
         for key in keys:
@@ -123,8 +130,20 @@ class Endings:
         return chance
 
 
+def _line_key(words: list[str], at: int) -> int:
+    """Key of the last line of a text as a whole."""
+    start = at
+    while start > 0 and words[start - 1] != "\n":
+        start -= 1
+    return _key(["$", *words[start:at]])
+
+
 def _rows(texts: Iterable[str]) -> Iterator[tuple[int, int, str | None]]:
-    """(context, ended?, word where the context is one word) of every place in the texts."""
+    """(context, ended?, word where it stands within a line) of every place in the texts.
+
+    Where a text ends without a stop, it may have been cut: that place counts for its whole line only,
+    but for names and numbers, which are classes.
+    """
     digest, join = xxhash.xxh3_64_intdigest, "\x1f".join
     for text in texts:
         words = tokens(text.rstrip())
@@ -136,8 +155,13 @@ def _rows(texts: Iterable[str]) -> Iterator[tuple[int, int, str | None]]:
             if word in STOPS:
                 begin = at
                 continue
-            ends = int(at == len(words) or words[at] == "\n" or words[at] in STOPS)
-            yield digest(word) - (1 << 63), ends, word
+            final = at == len(words)
+            if final:
+                yield _line_key(words, at), 1, None
+                if word not in ("N", "0"):
+                    continue
+            ends = int(final or words[at] == "\n" or words[at] in STOPS)
+            yield digest(word) - (1 << 63), ends, None if final or words[at] == "\n" else word
             for k in range(2, min(CONTEXT, at - line) + 1):
                 yield digest(join(words[at - k : at])) - (1 << 63), ends, None
             if at - begin > CONTEXT:
@@ -161,6 +185,7 @@ def fit(texts: DataFrame, text: Column, key: Column, rows: int = SAMPLE_ROWS) ->
                 else:
                     entry[0] += 1
                     entry[1] += e
+                    entry[2] = entry[2] or w
         values = list(held.values())
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(held), pa.int64()), *(pa.array([v[i] for v in values], kind) for i, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.string())))], names=["key", "seen", "ended", "word"]

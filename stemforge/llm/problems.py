@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemforge.llm import bpe, near_duplicates, packing, proportions, splitting, truncation
+from stemforge.llm import bpe, near_duplicates, packing, pairs, proportions, splitting, truncation
 from stemforge.sources.tables import table
 
 _DIMENSIONS = {"difficulty": "difficulty", "chapters": "chapter", "bloom_level": "bloom_level"}
@@ -63,6 +63,10 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.membership(table(spark, d, "questions"), "id", _stem_and_options(), SIMILARITY)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.find_defects(table(spark, d, "questions"), "id", "stem", "options", "answer", "explanation", "qtype")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
@@ -94,6 +98,7 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,
     "p4_classes": p4_classes,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p8_found": p8_found,
