@@ -1,16 +1,17 @@
 """Pairs of records whose word sets are similar, without comparing all pairs.
 
 Equal word sets become one class. Two sets of Jaccard similarity t or more share a word among the
-first few of each when all words are put in one order, and their sizes differ by no more than the
-factor t. So each class enters a tile for each of its first words and its size band, and its band's
-upper neighbour. In a tile, hashed bitmaps of the sets bound the overlap from above by bit counts;
-only pairs that pass are intersected exactly. A tile with many classes is cut into blocks, and blocks
-are paired, so no task holds more than two blocks of a hot word.
+first few of each when all words are put in one order, so each class enters a tile for each of its
+first words (for each two of its first words, where these are common). A tile is sorted by size: only sets whose sizes differ by no more than the factor t are
+compared, by hashed bitmaps whose bit counts bound the overlap from above, and only pairs that pass
+in some tile are intersected exactly. A crowded tile is cut into blocks, and each pair of
+blocks becomes a tile of its own, so no task holds more than two blocks of it.
+
+Words and classes are compared by 64-bit hashes (of the word; of the sorted set).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,116 +22,193 @@ from pyspark.sql import functions as F
 from stemforge.functions.text import word_set
 from stemforge.session import written
 
-#: A word is common from one in COMMON_ONE_IN sets on. A set of k words on average allows no more
-#: than k * COMMON_ONE_IN common words, whatever the data; that list is broadcast.
-COMMON_ONE_IN = 500
-#: Classes of a tile per block.
-BLOCK = 2000
-#: 64-bit words of a bitmap, a power of two.
-BITMAP_WORDS = 4
-
+#: A word is common if it is in one of COMMON_ONE_IN sets. With k words in a set on average, no more
+#: than k * COMMON_ONE_IN words are common, whatever the data; that list goes to every task.
+COMMON_ONE_IN = 1000
+#: Classes in one block of a crowded tile.
+BLOCK = 4000
 
-def _least_overlap(a: Column, b: Column, threshold: float) -> Column:
-    """Shared words that two sets of sizes a and b need at least."""
-    return F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
 
+def _sets(items: DataFrame, key: str, text: Column) -> DataFrame:
+    """``key``, word hashes ``h`` in the order of the words, and the class; rows without key or word are left out.
 
-def word_classes(items: DataFrame, key: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(classes, membership): each distinct word set once, as 64-bit word hashes ``h``, and the class of every key.
-
-    A class is named by 16 bytes of a digest of its words. Null keys and rows without any word are left out.
+    No class is null; that is said once more, so that every use shares one plan and its shuffle.
     """
     sets = items.select(F.col(f"`{key}`").alias("key"), word_set(text).alias("words")).where(F.col("key").isNotNull() & (F.size("words") > 0))
-    sets = sets.select("key", F.unhex(F.md5(F.array_join("words", " "))).alias("class"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    sets = written(sets, "near-duplicate-sets")
-    return sets.groupBy("class").agg(F.first("h").alias("h")), sets.select("class", "key").distinct()
+    return written(sets.select("key", F.xxhash64("words").alias("class"), F.transform("words", lambda w: F.xxhash64(w)).alias("h")), "similar-sets").where("class is not null")
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts, as far as a batch holds them more often than a word that is not common anywhere."""
     for batch in batches:
         words, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n.astype(np.int64))], names=["w", "n"])
+        keep = n >= max(2, batch.num_rows // (2 * COMMON_ONE_IN))
+        yield pa.RecordBatch.from_arrays([pa.array(words[keep]), pa.array(n[keep].astype(np.int64))], names=["w", "n"])
+
+
+def _first_words(words: np.ndarray, sizes: np.ndarray, common: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, tile number and "also valid for the smaller side?" of each set's tiles.
+
+    With one word more in each prefix, a pair shares two words at least, the first two in the order.
+    If the first is rare, its own tile has the pair; else both are common, and the tile of the two
+    common words has it. So no tile belongs to a common word alone.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    often = np.zeros(len(words), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, words), len(common) - 1)
+        often = np.where(common[at] == words, counts[at], 0)
+    order = np.lexsort((words, often, row))
+    words, often = words[order], often[order] > 0
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # t * |y| words at least are shared with a smaller set, and 2t / (1 + t) * |x| with a larger one
+    larger = np.repeat(sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1, sizes)
+    smaller = np.repeat(sizes - np.ceil(sizes * (2 * threshold / (1 + threshold)) - 1e-9).astype(np.int64) + 1, sizes)
+    single = np.flatnonzero((place < larger) & ~often)
+    rows, tiles, few = [row[single]], [words[single]], [(place < smaller)[single]]
+    first, step = np.flatnonzero((place <= larger) & often), 0
+    while len(first):
+        step += 1
+        first = first[first + step < len(words)]
+        second = first + step
+        first = first[(row[second] == row[first]) & (place[second] <= larger[second])]
+        second = first + step
+        rows.append(row[first])
+        tiles.append((words[first] * np.int64(0x5851F42D4C957F2D)) ^ words[second])
+        few.append((place <= smaller)[second])
+    return np.concatenate(rows), np.concatenate(tiles), np.concatenate(few)
+
+
+def _bitmaps(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.cumsum(sizes) - sizes
+    bits = np.left_shift(np.uint64(1), (words & 63).astype(np.uint64))
+    high = (words >> 6) & 1 == 1
+    return tuple(np.bitwise_or.reduceat(np.where(part, bits, np.uint64(0)), starts).view(np.int64) for part in (~high, high))
+
+
+def _mixed(word: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of a tile: the word's hash, mixed with the blocks where there are several."""
+    return word ^ (i * np.int64(0x1E3779B97F4A7C15)) ^ ((j + 1) * np.int64(0x2545F4914F6CDD1D))
+
+
+def _crowded(common: np.ndarray, counts: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tiles that a batch enters more often than one in 2 * COMMON_ONE_IN of its classes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(0).value_lengths().to_numpy().astype(np.int64)
+            _, tile, _ = _first_words(batch.column(0).flatten().to_numpy(), sizes, common, counts, threshold)
+            tiles, n = np.unique(tile, return_counts=True)
+            keep = n >= max(2, batch.num_rows // (2 * COMMON_ONE_IN))
+            yield pa.RecordBatch.from_arrays([pa.array(tiles[keep]), pa.array(n[keep].astype(np.int64))], names=["tile", "n"])
 
+    return count
 
-def _signatures(common: np.ndarray, counts: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per class: size, band, first words in the order (rare by hash, then common by count), and bitmap."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(common: np.ndarray, counts: np.ndarray, hot: np.ndarray, blocks: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tile entries of each class: size with two flags in ``packed`` (among the fewer words; second block), and bitmaps."""
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             words = batch.column(1).flatten().to_numpy()
             sizes = batch.column(1).value_lengths().to_numpy().astype(np.int64)
-            starts = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            often = np.zeros(len(words), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, words), len(common) - 1)
-                often = np.where(common[at] == words, counts[at], 0)
-            order = np.lexsort((words, often, row))
-            first = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
-            place = np.arange(len(words)) - np.repeat(starts, sizes)
-            prefix = words[order][place < np.repeat(first, sizes)]
-            band = np.floor(np.log(sizes) / math.log(1 / threshold) + 1e-9) if threshold < 1 else sizes
-            bits = np.left_shift(np.uint64(1), (words & 63).astype(np.uint64))
-            which = (words >> 6) & (BITMAP_WORDS - 1)
-            maps = [np.bitwise_or.reduceat(np.where(which == i, bits, np.uint64(0)), starts).view(np.int64) for i in range(BITMAP_WORDS)]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(first)).astype(np.int32)), pa.array(prefix))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes.astype(np.int32)), pa.array(band.astype(np.int32)), lists, *map(pa.array, maps)],
-                names=["class", "size", "band", "prefix", *(f"m{i}" for i in range(BITMAP_WORDS))],
-            )
-
-    return sign
-
-
-def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes (``a`` < ``b``) with their ``similarity``; ``classes`` has ``class`` and word hashes ``h``."""
+            row, word, few = _first_words(words, sizes, common, counts, threshold)
+            m0, m1 = _bitmaps(words, sizes)
+            n = np.ones(len(word), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
+                n = np.where(hot[at] == word, blocks[at], 1)
+            classes = batch.column(0).to_numpy()
+            own = (classes[row].view(np.uint64) % n.astype(np.uint64)).astype(np.int64)
+            take = np.repeat(np.arange(len(word)), n)
+            other = np.arange(len(take)) - np.repeat(np.cumsum(n) - n, n)
+            mine = own[take]
+            tile = _mixed(word[take], np.minimum(mine, other), np.maximum(mine, other))
+            # in the tile of two blocks, the flag says which of them
+            packed = sizes[row][take] << 3 | few[take] << 2 | (mine > other) << 1 | (mine != other)
+            who = row[take]
+            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(packed), pa.array(classes[who]), pa.array(m0[who]), pa.array(m1[who])], names=["tile", "packed", "class", "m0", "m1"])
+
+    return enter
+
+
+def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs within each tile that the bitmaps let pass; entries come sorted by tile, size and class.
+
+    The smaller set of a pair (of equal ones the smaller class) has a shared word among its fewer first
+    words, so only such entries are held against what follows them in the tile.
+    """
+    share = threshold / (1 + threshold)
+
+    def pairs(tile: np.ndarray, packed: np.ndarray, classes: np.ndarray, m0: np.ndarray, m1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size, few, second, crossed = packed >> 3, (packed & 4) > 0, (packed & 2) > 0, (packed & 1) > 0
+        m0, m1 = m0.view(np.uint64), m1.view(np.uint64)
+        at, step = np.flatnonzero(few), 0
+        while True:
+            step += 1
+            at = at[at + step < len(tile)]
+            b = at + step
+            # sorted by size: beyond the band of a set, nothing in its tile can match it
+            at = at[(tile[at] == tile[b]) & (size[at] >= size[b] * threshold - 1e-9)]
+            if len(at) == 0:
+                return
+            b = at + step
+            fit = (~crossed[at] | (second[at] != second[b])) & (classes[at] != classes[b])
+            a, b = at[fit], b[fit]
+            need = np.ceil((size[a] + size[b]) * share - 1e-9)
+            lost_a = np.bitwise_count(m0[a] & ~m0[b]).astype(np.int64) + np.bitwise_count(m1[a] & ~m1[b])
+            lost_b = np.bitwise_count(m0[b] & ~m0[a]).astype(np.int64) + np.bitwise_count(m1[b] & ~m1[a])
+            close = np.minimum(size[a] - lost_a, size[b] - lost_b) >= need
+            if close.any():
+                x, y = classes[a[close]], classes[b[close]]
+                yield np.minimum(x, y), np.maximum(x, y)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(columns: list[np.ndarray]) -> pa.RecordBatch:
+            found = list(pairs(*columns))
+            both = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)]), axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            if held is not None:
+                columns = [np.concatenate(pair) for pair in zip(held, columns)]
+            begin = int(np.searchsorted(columns[0], columns[0][-1]))  # the last tile may go on in the next batch
+            held = [c[begin:] for c in columns]
+            if begin:
+                yield done([c[:begin] for c in columns])
+        if held is not None:
+            yield done(held)
+
+    return compare
+
+
+def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes (``a`` < ``b``) with their ``similarity``; ``sets`` has ``class`` and word hashes ``h``."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    classes = written(classes, "near-duplicate-classes")
-    counts = classes.select("h").mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    n = classes.agg(F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)) / COMMON_ONE_IN)).alias("least"))
-    # the common words alone come to the driver: at most the mean set size times COMMON_ONE_IN, at any number of rows
-    common = counts.join(F.broadcast(n), F.col("n") >= F.col("least")).select("w", "n").toArrow().sort_by("w")
-    sign = _signatures(common["w"].to_numpy(), common["n"].to_numpy(), threshold)
-    ready = classes.select("class", "h").mapInArrow(sign, "class binary, size int, band int, prefix array<long>, " + ", ".join(f"m{i} long" for i in range(BITMAP_WORDS)))
-    ready = written(ready, "near-duplicate-signatures")
-    maps = [f"m{i}" for i in range(BITMAP_WORDS)]
-    entries = ready.select("class", "size", "band", F.explode("prefix").alias("word"), *maps)
-    # sizes of similar sets differ by the factor 1/t at most: the same band or the next one
-    home = entries.withColumn("tile", F.col("band"))
-    guest = entries.withColumn("tile", F.col("band") - 1) if threshold < 1 else None
-    larger = home if guest is None else home.unionByName(guest)
-    # tiles of more than a block of classes; there are no more of them than entries / BLOCK
-    big = larger.groupBy("word", "tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("word", "tile", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    big = written(big, "near-duplicate-tiles")
-
-    def blocked(side: DataFrame, repeat: bool) -> DataFrame:
-        side = side.join(big, ["word", "tile"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-        if repeat:  # the guests of every home block
-            return side.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        return side.withColumn("block", own).drop("blocks")
-
-    left = blocked(home, repeat=False).select("word", "tile", "block", *[F.col(c).alias(f"a_{c}") for c in ("class", "size", "band", *maps)])
-    right = blocked(larger, repeat=True).select("word", "tile", "block", *[F.col(c).alias(f"b_{c}") for c in ("class", "size", "band", *maps)])
-    need = _least_overlap(F.col("a_size"), F.col("b_size"), threshold)
-    only = lambda x, y: sum((F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in maps), F.lit(0))
-    close = (
-        # within a band each pair is met from both sides and kept once
-        ((F.col("a_band") < F.col("b_band")) | (F.col("a_class") < F.col("b_class")))
-        & (F.least("a_size", "b_size") >= F.ceil(F.greatest("a_size", "b_size") * threshold - 1e-9))
-        & (F.col("a_size") - only("a", "b") >= need)
-        & (F.col("b_size") - only("b", "a") >= need)
-    )
-    same = [left[c] == right[c] for c in ("word", "tile", "block")]
-    pairs = left.join(right, [*same, close]).select("a_class", "b_class").distinct()
-    sets = classes.select("class", "h")
-    pairs = pairs.join(sets.select(F.col("class").alias("a_class"), F.col("h").alias("a")), "a_class").join(sets.select(F.col("class").alias("b_class"), F.col("h").alias("b")), "b_class")
-    shared = F.size(F.array_intersect("a", "b"))
-    pairs = pairs.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared)).where(F.col("similarity") >= threshold)
-    return pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"), "similarity")
+    # only the common words come to the driver, a number that does not grow with the rows
+    frequent = sets.select("h").mapInArrow(_frequent, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    least = sets.agg(F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)) / COMMON_ONE_IN)).alias("least"))
+    listed = frequent.join(F.broadcast(least), F.col("n") >= F.col("least")).select("w", "n").toArrow().sort_by("w")
+    common, counts = listed["w"].to_numpy(), listed["n"].to_numpy()
+    # of crowded tiles there are no more than entries of a class * 2 * COMMON_ONE_IN
+    crowded = sets.select("h").mapInArrow(_crowded(common, counts, threshold), "tile long, n long").groupBy("tile").agg(F.sum("n").alias("n"))
+    crowded = crowded.where(F.col("n") > BLOCK).toArrow().sort_by("tile")
+    hot, blocks = crowded["tile"].to_numpy(), -(-crowded["n"].to_numpy() // BLOCK)
+    classes = sets.select("class", "h").groupBy("class").agg(F.first("h").alias("h"))
+    entries = classes.select("class", "h").mapInArrow(_entries(common, counts, hot, blocks, threshold), "tile long, packed long, class long, m0 long, m1 long")
+    tiles = entries.repartition("tile").sortWithinPartitions("tile", F.shiftright("packed", 3), "class")
+    pairs = tiles.mapInArrow(_compare(threshold), "a long, b long").distinct()
+    one, two = classes.select(F.col("class").alias("a"), F.col("h").alias("x")), classes.select(F.col("class").alias("b"), F.col("h").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    pairs = pairs.join(one, "a").join(two, "b").withColumn("similarity", shared / (F.size("x") + F.size("y") - shared))
+    return pairs.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def similar_pairs(items: DataFrame, key: str, text: Column, threshold: float) -> DataFrame:
@@ -141,11 +219,11 @@ def similar_pairs(items: DataFrame, key: str, text: Column, threshold: float) ->
     A pair counts by itself, chains are not closed. Null texts, keys and texts without a word are in no
     pair; repeated rows count once; a key with several texts has the best similarity of them.
     """
-    classes, of = word_classes(items, key, text)
-    pairs = similar_classes(classes, threshold)
-    one, two = of.withColumnRenamed("key", "x"), of.withColumnRenamed("key", "y")
-    apart = pairs.join(one, pairs["a"] == one["class"]).drop("class").join(two, pairs["b"] == two["class"]).select("x", "y", "similarity")
-    equal = one.join(two, "class").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    sets = _sets(items, key, text)
+    pairs, of = similar_classes(sets, threshold), sets.select("class", "key").distinct()
+    one, two = of.select(F.col("class").alias("a"), F.col("key").alias("x")), of.select(F.col("class").alias("b"), F.col("key").alias("y"))
+    apart = pairs.join(one, "a").join(two, "b").select("x", "y", "similarity")
+    equal = of.select("class", F.col("key").alias("x")).join(of.select("class", F.col("key").alias("y")), "class").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     both = apart.unionByName(equal).where("x <> y")
     return both.groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
@@ -153,10 +231,11 @@ def similar_pairs(items: DataFrame, key: str, text: Column, threshold: float) ->
 def membership(items: DataFrame, key: str, text: Column, threshold: float) -> DataFrame:
     """One row per key: ``class_id`` (the smallest key with the same words), ``n_copies`` and ``n_links`` to other classes.
 
-    This form does not grow with the square of a group of copies. Keys without words have no class.
+    This form does not grow with the square of a group of copies. Keys without words have no class; a
+    key with several texts has a row for each class.
     """
-    classes, of = word_classes(items, key, text)
-    pairs = similar_classes(classes, threshold)
+    sets = _sets(items, key, text)
+    pairs, of = similar_classes(sets, threshold), sets.select("class", "key").distinct()
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
     heads = of.groupBy("class").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("n_copies")).join(links, "class", "left")
-    return of.select("class", "key").join(heads, "class").select(F.col("key").alias("id"), "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return of.join(heads, "class").select(F.col("key").alias("id"), "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
