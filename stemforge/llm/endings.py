@@ -173,7 +173,11 @@ def fit(texts: DataFrame, text: Column, key: Column, rows: int = SAMPLE_ROWS) ->
 
     What comes to the driver is bounded by the sample: contexts seen at least KEPT_FROM times.
     """
-    sample = texts.select(text.alias("t"), F.xxhash64(key).alias("k")).where(F.length("t") > 0).orderBy("k", "t").limit(rows).repartition(8, "k").select("t")
+    hashed = texts.select(text.alias("t"), F.xxhash64(key).alias("k")).where(F.length("t") > 0)
+    # hashes are spread evenly, so a bound on them leaves about twice the rows wanted, from all tasks together
+    bound = min(2**63 - 1, 2**64 * 2 * rows // max(1, texts.count()) - 2**63)
+    near = hashed.where(F.col("k") <= bound)
+    sample = near.orderBy("k", "t").limit(rows).repartition(8, "k").select("t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
