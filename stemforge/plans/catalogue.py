@@ -1,7 +1,7 @@
 """All queries of the core and their SQL."""
 
-from stemforge.plans import problems
+from stemforge.plans import core, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
-FLAGSHIP = problems.p3_found
+QUERIES = {**core.QUERIES, **problems.QUERIES}
+ORACLE = {**core.ORACLE, **problems.ORACLE}
+FLAGSHIP = core.c4_overlap_chunks
