@@ -12,12 +12,11 @@ packed by one task. A block leaves a few bins open, a share that falls as blocks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Items of a block on average: the size of a packing task, and with it the room lost to open bins.
 BLOCK_ITEMS = 50_000
@@ -86,27 +85,26 @@ def pack_items(items: DataFrame, key: str, size: str, containers: DataFrame, kin
     dealt = sized.crossJoin(F.broadcast(total)).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("int")).drop("blocks")
     work = dealt.join(F.broadcast(kinds.agg(F.collect_list(F.struct("kind", "capacity")).alias("kinds"))))
 
-    def one_block(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        pdf = pdf.sort_values(["key", "size"], kind="stable")
-        order = np.random.default_rng(seed).permutation(len(pdf))
-        keys, sizes = pdf["key"].to_numpy()[order], pdf["size"].to_numpy()[order]
-        block = int(pdf["block"].iloc[0])
-        for one in pdf["kinds"].iloc[0]:
+    kind_type, key_type = kinds.schema["kind"].dataType, sized.schema["key"].dataType
+
+    def packed(table: pa.Table) -> pa.Table:
+        # the order within a block follows from the items alone, whatever order they arrive in
+        table = table.sort_by([("key", "ascending"), ("size", "ascending")]).combine_chunks()
+        table = table.take(pa.array(np.random.default_rng(seed).permutation(table.num_rows)))
+        sizes, block, out = table["size"].to_numpy().astype(np.int64), table["block"][0].as_py(), []
+        for one in table["kinds"][0].as_py():
             most = int(one["capacity"])
-            whole = sizes <= most
-            parts = np.where(whole, 1, -(-sizes // most))
+            parts = np.where(sizes <= most, 1, -(-sizes // most))
             item = np.repeat(np.arange(len(sizes)), parts)
             part = np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)
             amount = np.where(part == parts[item] - 1, sizes[item] - part * most, most)
-            bins = pack(amount, most)
-            names = pd.Series(bins).map(lambda b: f"{block}-{b}")
-            yield pd.DataFrame({"container_kind": one["kind"], "container_id": names, "item_key": keys[item], "part": part.astype("int32"), "n_tokens": amount.astype("int32")})
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(one_block(pdf)), ignore_index=True)
+            names = [f"{block}-{b}" for b in pack(amount, most).tolist()]
+            kind_of = pa.array([one["kind"]] * len(item), to_arrow_type(kind_type))
+            out.append(pa.table([kind_of, pa.array(names, pa.string()), table["key"].take(pa.array(item)), pa.array(part.astype(np.int32)), pa.array(amount.astype(np.int32))], names=["container_kind", "container_id", "item_key", "part", "n_tokens"]))
+        return pa.concat_tables(out)
 
-    kind_type, key_type = kinds.schema["kind"].dataType.simpleString(), sized.schema["key"].dataType.simpleString()
-    out = work.groupBy("block").applyInPandas(packed, f"container_kind {kind_type}, container_id string, item_key {key_type}, part int, n_tokens int")
+    schema = f"container_kind {kind_type.simpleString()}, container_id string, item_key {key_type.simpleString()}, part int, n_tokens int"
+    out = work.groupBy("block").applyInArrow(packed, schema)
     return out.withColumnsRenamed({"container_kind": kind, "item_key": key})
 
 
