@@ -34,7 +34,7 @@ def split_ids(field: Column) -> Column:
     return F.array_distinct(F.filter(ids, lambda x: x != ""))
 
 
-def _compare(refs: DataFrame, targets: DataFrame, mine: list[str], theirs: list[str], spread: list[str], timed: bool) -> DataFrame:
+def _compare(refs: DataFrame, targets: DataFrame, mine: list[str], theirs: list[str], timed: bool) -> DataFrame:
     """``refs`` and the reason why each is an orphan, null if it is none; one row for each of ``refs``.
 
     Target rows of a key are folded first: into one, or where ``timed`` into disjoint spans.
@@ -43,7 +43,7 @@ def _compare(refs: DataFrame, targets: DataFrame, mine: list[str], theirs: list[
     refs = refs.withColumns({k: F.col(c) for k, c in zip(keys, mine)})
     targets = targets.select(*[F.col(c).alias(k) for k, c in zip(keys, theirs)], *(["_from", "_to"] if timed else [])).dropna(subset=keys).distinct()
     if not timed:
-        left, right = salted(refs, targets.withColumn("_there", F.lit(True)), keys, spread)
+        left, right = salted(refs, targets.withColumn("_there", F.lit(True)), keys, ["_row"])
         reason = F.when(F.col("_there").isNull(), F.lit("missing"))
         return left.join(right, [*keys, "_salt"], "left").withColumn("reason", reason).drop(*keys, "_salt", "_there")
     # rows of one key that touch or overlap become one span, and each span is carried on to the begin of
@@ -56,7 +56,7 @@ def _compare(refs: DataFrame, targets: DataFrame, mine: list[str], theirs: list[
     spans = spans.groupBy(*keys, "_group").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     by = "PARTITION BY " + ", ".join(keys) + " ORDER BY _from"
     spans = spans.withColumns({"_next": F.expr(f"lead(_from) OVER ({by})"), "_begin": F.when(F.col("_group") > 1, F.col("_from"))})
-    left, right = salted(refs, spans.drop("_group"), keys, spread)
+    left, right = salted(refs, spans.drop("_group"), keys, ["_row"])
     on = [left[k] == right[k] for k in [*keys, "_salt"]]
     on += [right["_begin"].isNull() | (left["_at"] >= right["_begin"]), right["_next"].isNull() | (left["_at"] < right["_next"])]
     reason = F.when(right["_from"].isNull(), "missing").when(left["_at"] < right["_from"], "late").when(left["_at"] >= right["_to"], "deleted")
@@ -78,18 +78,21 @@ def find_orphans(
     once. A reference without a time (``at`` null) is compared as if it had none: it is ``missing`` or
     no orphan. Target rows with a null in a compared key column, or without ``valid_from``, hold no
     key. Empty references give no rows, empty targets make every reference ``missing``. Other columns
-    of either side may have any names but ``reason`` and those that begin with an underscore.
-    Columns of ``references`` must be comparable (no maps).
+    of either side may have any names; a column ``reason`` of ``references`` is replaced. Columns of
+    ``references`` must be comparable (no maps).
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"match must be simple, partial or full, not {match!r}")
-    mine, theirs = list(keys), list(keys.values())
+    mine, theirs = [f"_m{i}" for i in range(len(keys))], list(keys.values())
     timed = at is not None
-    columns = references.columns
-    refs = references.select(*[F.col(f"`{c}`") for c in columns]).distinct()
-    target = targets.select(*[F.col(f"`{c}`") for c in theirs], *([F.col(f"`{valid_from}`").alias("_from"), (F.col(f"`{valid_to}`") if valid_to else F.lit(None).cast("timestamp")).alias("_to")] if timed else []))
+    # the whole reference row travels as one value, so that its columns may have any names
+    refs = references.select(F.struct(*[F.col(f"`{c}`") for c in references.columns if c != "reason"]).alias("_row")).distinct()
+    refs = refs.withColumns({m: F.col(f"_row.`{c}`") for m, c in zip(mine, keys)})
+    times = [F.col(f"`{valid_from}`").alias("_from"), (F.col(f"`{valid_to}`") if valid_to else F.lit(None).cast("timestamp")).alias("_to")] if timed else []
+    target = targets.select(*[F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(theirs)], *times)
+    theirs = [f"_t{i}" for i in range(len(theirs))]
     if timed:
-        refs = refs.withColumn("_at", F.col(f"`{at}`"))
+        refs = refs.withColumn("_at", F.col(f"_row.`{at}`"))
     parts: list[DataFrame] = []
     for mask in product((False, True), repeat=len(mine)):
         if all(mask):
@@ -105,14 +108,14 @@ def find_orphans(
         held = [(a, b) for a, b, null in zip(mine, theirs, mask) if not null]
         a, b = [x for x, _ in held], [y for _, y in held]
         if timed:
-            parts.append(_compare(some.where("_at is not null"), target, a, b, columns, True))
-            parts.append(_compare(some.where("_at is null"), target.where("_from is not null"), a, b, columns, False))
+            parts.append(_compare(some.where("_at is not null"), target, a, b, True))
+            parts.append(_compare(some.where("_at is null"), target.where("_from is not null"), a, b, False))
         else:
-            parts.append(_compare(some, target, a, b, columns, False))
+            parts.append(_compare(some, target, a, b, False))
     out = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.where("reason is not null").select(*columns, "reason")
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.where("reason is not null").select("_row.*", "reason")
 
 
 def orphan_report(orphans: DataFrame, references: DataFrame, by: Sequence[str]) -> DataFrame:

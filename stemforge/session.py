@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -24,17 +23,22 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
+#: Folder of this process where no cluster names one.
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
     temporary folder takes its place.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.environ.get("STEMFORGE_SHARED_DIR") or tempfile.mkdtemp(prefix="spark-stemforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="spark-stemforge-"))
+    return _LOCAL[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
