@@ -51,7 +51,7 @@ def _first_words(words: np.ndarray, sizes: np.ndarray, common: np.ndarray, count
 
     With one word more in each prefix, a pair shares two words at least, the first two in the order.
     If the first is rare, its own tile has the pair; else both are common, and the tile of the two
-    common words has it. So no tile belongs to a common word alone.
+    common words has it. So no tile belongs to a common word alone, but for sets of a word or two.
     """
     row = np.repeat(np.arange(len(sizes)), sizes)
     often = np.zeros(len(words), np.int64)
@@ -64,7 +64,9 @@ def _first_words(words: np.ndarray, sizes: np.ndarray, common: np.ndarray, count
     # t * |y| words at least are shared with a smaller set, and 2t / (1 + t) * |x| with a larger one
     larger = np.repeat(sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1, sizes)
     smaller = np.repeat(sizes - np.ceil(sizes * (2 * threshold / (1 + threshold)) - 1e-9).astype(np.int64) + 1, sizes)
-    single = np.flatnonzero((place < larger) & ~often)
+    # sets so small that one shared word may be enough stand in every word's tile
+    tiny = np.ceil((sizes + np.ceil(sizes * threshold - 1e-9)) * (threshold / (1 + threshold)) - 1e-9) <= 1
+    single = np.flatnonzero((place < larger) & (~often | np.repeat(tiny, sizes)))
     rows, tiles, few = [row[single]], [words[single]], [(place < smaller)[single]]
     first, step = np.flatnonzero((place <= larger) & often), 0
     while len(first):

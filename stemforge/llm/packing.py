@@ -83,7 +83,7 @@ def pack_items(items: DataFrame, key: str, size: str, containers: DataFrame, kin
     # how many blocks follows from the number of items; that is one row, and the items are dealt by a hash
     total = items.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_items)).cast("int").alias("blocks"))
     dealt = sized.crossJoin(F.broadcast(total)).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("int")).drop("blocks")
-    work = dealt.join(F.broadcast(kinds.agg(F.collect_list(F.struct("kind", "capacity")).alias("kinds"))))
+    work = dealt.join(F.broadcast(kinds.agg(F.collect_list(F.struct("kind", "capacity")).alias("kinds")))).where(F.size("kinds") > 0)
 
     kind_type, key_type = kinds.schema["kind"].dataType, sized.schema["key"].dataType
 
