@@ -38,6 +38,9 @@ _PICTURES = re.compile("[\\s←-⯿︎️‍☀-➿\U0001f000-\U0001faff]+$")
 #: Marks in place of a lost end.
 MARK = re.compile(r"\s*(?:[\[(<{]\s*(?:\.{3,}|…|more|cut|truncated|continued|snip)\s*[\])>}]|…+|(?<!\.)\.{3}|�+)\s*$", re.IGNORECASE)
 _WIDE_TOKEN = re.compile(f"[{_WIDE}]")
+#: Abbreviations that stand before something.
+_SHORTENED = re.compile(r"(?<!\w)(?:e\.g|i\.e|cf|Fig|Figs|Sec|Eq|Dr|Prof|Mr|Mrs|Ms|vs|approx|z\. ?B|d\. ?h|u\. ?a|bzw|vgl|Abb|p\. ?ej|Sr|Sra|Mme|M)\.$")
+_LEADER, _LED = re.compile(r"[. ]\.{3,}$"), re.compile(r"\.{4,} *\d+ *(?:\n|$)")
 _FENCE = re.compile(r"(?m)^\s*```")
 _SENTENCE = re.compile(rf"(?<=[{re.escape(STOPS)}])\s")
 
@@ -281,8 +284,6 @@ def judge(text: str, model: Endings, prior: float = 0.3, short_is_title: bool =
         line = before.rsplit("\n", 1)[-1]
         if mark.group().strip().startswith(".") and len(line.split()) < 3:
             return Verdict(False, "aside")
-        if re.search(r"\.{4,}$", body):
-            return Verdict(True, "leader")
         return Verdict(True, "mark")
     fences = len(_FENCE.findall(body)) if "```" in body else 0
     if fences:
@@ -293,13 +294,16 @@ def judge(text: str, model: Endings, prior: float = 0.3, short_is_title: bool =
     opened = json_is_open(body)
     if opened is not None:
         return Verdict(opened, "json")
-    if _TERMINAL.search(body, max(0, len(body) - 20)):
-        return Verdict(False, "sentence")
     line = body.rsplit("\n", 1)[-1]
+    if _LEADER.search(line) and _LED.search(body):
+        return Verdict(True, "leader")  # a line of a table of contents without its page
+    if _SHORTENED.search(body, max(0, len(body) - 12)):
+        return Verdict(True, "abbreviation")
+    if _TERMINAL.search(body, max(0, len(body) - 20)):
+        halved = prior > 0.8 and body[-1] == "." and body[-2:-1].isdigit() and model.chance(body[:-1]) < model.usual / 2
+        return Verdict(halved, "number" if halved else "sentence")
     if pictured:
         return Verdict(False, "picture")
-    if re.search(r"\.{4,}\s*$", line):
-        return Verdict(True, "leader")
     last = _SENTENCE.split(line)[-1]
     if left_open(last) > 0:
         return Verdict(True, "open")
