@@ -41,6 +41,8 @@ _WIDE_TOKEN = re.compile(f"[{_WIDE}]")
 #: Abbreviations that stand before something.
 _SHORTENED = re.compile(r"(?<!\w)(?:e\.g|i\.e|cf|Fig|Figs|Sec|Eq|Dr|Prof|Mr|Mrs|Ms|vs|approx|z\. ?B|d\. ?h|u\. ?a|bzw|vgl|Abb|p\. ?ej|Sr|Sra|Mme|M)\.$")
 _LEADER, _LED = re.compile(r"[. ]\.{3,}$"), re.compile(r"\.{4,} *\d+ *(?:\n|$)")
+#: The option of a question, and the share of cut texts among those that end with one without a stop.
+_OPTION, OPTION_PRIOR = re.compile(r"\s*(?:[a-hA-H]\)|\([a-hA-H]\)|[A-H]\.)\s"), 0.05
 _FENCE = re.compile(r"(?m)^\s*```")
 _SENTENCE = re.compile(rf"(?<=[{re.escape(STOPS)}])\s")
 
@@ -124,7 +126,7 @@ class Endings:
             return 0.99
         if last.isalpha() and last != "N" and len(last) < 25 and not _WIDE_TOKEN.match(last) and not self.knows(last):
             # a word that is not known: most likely the first part of one that is
-            return 0.01 if self.begins_longer(last) else 0.08
+            return 0.001 if self.begins_longer(last) else 0.08
         for key in keys:
             seen, ended = self.count(key)
             if seen == 0:
@@ -316,5 +318,7 @@ def judge(text: str, model: Endings, prior: float = 0.3, short_is_title: bool =
         return Verdict(False, "title")
     chance = model.chance(body)
     usual = model.usual
+    if prior < 0.8 and _OPTION.match(line):
+        prior = min(prior, OPTION_PRIOR)  # options are phrases, and end where sentences go on
     whole, broken = (1 - prior) * chance / usual, prior
     return Verdict(broken > whole, f"{chance:.3f}")
