@@ -6,7 +6,7 @@ is a small helper on arrays of numbers; the text never leaves the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -99,12 +99,23 @@ def chunk_texts(texts: DataFrame, text: str, options: ChunkOptions = ChunkOption
 
     parts = texts.where(~blank(F.col(text))).withColumn("_p", split_paragraphs(F.col(text), separator))
     parts = parts.withColumn("_n", F.transform("_p", token_count))
-    long_ones = F.zip_with("_p", "_n", lambda p, n: F.when(n > o.maximum, F.transform(split_sentences(p), token_count)).otherwise(F.array().cast("array<int>")))
-    cut = parts.withColumn("_r", runs("_n", long_ones)).select(*texts.columns, "_p", F.posexplode("_r").alias("pos", "_r"))
-    run = F.array_join(F.slice(split_sentences(F.get("_p", F.col("_r.parts")[0])), F.col("_r.first") + 1, F.col("_r.end") - F.col("_r.first")), " ")
-    whole = F.array_join(F.transform("_r.parts", lambda i: F.get("_p", i)), "\n\n")
-    chunk = F.when(F.col("_r.first") >= 0, run).otherwise(whole)
-    return cut.select(*texts.columns, "pos", chunk.alias("chunk_text"), F.col("_r.n_tokens").alias("token_count"))
+    # sentences of the paragraphs over the maximum, none of the others
+    parts = parts.withColumn("_s", F.zip_with("_p", "_n", lambda p, n: F.when(n > o.maximum, split_sentences(p)).otherwise(F.array().cast("array<string>"))))
+    walked = parts.withColumn("_r", runs("_n", F.transform("_s", lambda s: F.transform(s, token_count))))
+    run = lambda r: F.array_join(F.slice(F.get("_s", r["parts"][0]), r["first"] + 1, r["end"] - r["first"]), " ")
+    whole = lambda r: F.array_join(F.transform(r["parts"], lambda i: F.get("_p", i)), "\n\n")
+    return _exploded(walked, texts.columns, lambda r: F.when(r["first"] >= 0, run(r)).otherwise(whole(r)))
+
+
+def _exploded(walked: DataFrame, columns: list[str], text: Callable[[Column], Column]) -> DataFrame:
+    """One row per run in ``_r``; texts are put together before, so that no row carries the parts of all.
+
+    The explode is an outer one, then filtered: else the optimizer would evaluate the walk a second time
+    in a filter before it.
+    """
+    chunks = F.transform("_r", lambda r: F.struct(text(r).alias("t"), r["n_tokens"].alias("n")))
+    rows = walked.select(*columns, chunks.alias("_c")).select(*columns, F.posexplode_outer("_c").alias("pos", "_c")).where("pos is not null")
+    return rows.select(*columns, "pos", F.col("_c.t").alias("chunk_text"), F.col("_c.n").alias("token_count"))
 
 
 def sentence_chunks(texts: DataFrame, text: str, target: int) -> DataFrame:
@@ -114,9 +125,8 @@ def sentence_chunks(texts: DataFrame, text: str, target: int) -> DataFrame:
     def runs(counts: pd.Series) -> pd.Series:
         return pd.Series([[{"first": a, "end": b, "n_tokens": n} for a, b, n in merge_sentences(list(c), target)] for c in counts])
 
-    cut = texts.where(F.col(text).isNotNull()).withColumn("_s", split_sentences(F.col(text))).withColumn("_r", runs(F.transform("_s", token_count)))
-    cut = cut.select(*texts.columns, "_s", F.posexplode("_r").alias("pos", "_r"))
-    return cut.select(*texts.columns, "pos", F.array_join(F.slice("_s", F.col("_r.first") + 1, F.col("_r.end") - F.col("_r.first")), " ").alias("chunk_text"), F.col("_r.n_tokens").alias("token_count"))
+    walked = texts.where(F.col(text).isNotNull()).withColumn("_s", split_sentences(F.col(text))).withColumn("_r", runs(F.transform("_s", token_count)))
+    return _exploded(walked, texts.columns, lambda r: F.array_join(F.slice("_s", r["first"] + 1, r["end"] - r["first"]), " "))
 
 
 def number_chunks(chunks: DataFrame, chapter: str, section_order: Sequence[str], label: str, within: Sequence[str] = ()) -> DataFrame:
