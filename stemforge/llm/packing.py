@@ -75,32 +75,35 @@ def pack_items(items: DataFrame, key: str, size: str, containers: DataFrame, kin
     is left out, equal rows count once, of two capacities of one kind the smaller holds). An item is
     whole (``part`` 0) unless it exceeds the capacity; then its parts are full but for the last. A null
     size counts as 0; items of size 0 are kept and take no room. Repeated rows are items of their own.
-    The deal into blocks depends on the key and ``seed`` only, so a task that runs again packs alike.
+    The deal into blocks depends on the key and ``seed`` only, so a task that runs again packs alike;
+    rows of one key share a block, so keys should name items, not groups of them.
     Empty items, or no containers, give no rows.
     """
     kinds = containers.where(F.col(capacity) >= 1).groupBy(F.col(kind).alias("kind")).agg(F.min(capacity).cast("int").alias("capacity"))
     sized = items.select(F.col(f"`{key}`").alias("key"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("int"), F.lit(0)), F.lit(0)).alias("size"))
-    # how many blocks follows from the number of items; that is one row, and the items are dealt by a hash
-    total = items.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_items)).cast("int").alias("blocks"))
-    dealt = sized.crossJoin(F.broadcast(total)).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("int")).drop("blocks")
-    work = dealt.join(F.broadcast(kinds.agg(F.collect_list(F.struct("kind", "capacity")).alias("kinds")))).where(F.size("kinds") > 0)
-
+    # the kinds of containers are a list of a few; how many blocks there are follows from the number of items
+    filled = [(r["kind"], r["capacity"]) for r in kinds.orderBy("kind").collect()]
+    blocks = max(1, -(-items.count() // block_items))
+    work = sized.withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(blocks)))
     kind_type, key_type = kinds.schema["kind"].dataType, sized.schema["key"].dataType
 
+    fields = [("container_kind", to_arrow_type(kind_type)), ("container_id", pa.string()), ("item_key", to_arrow_type(key_type)), ("part", pa.int32()), ("n_tokens", pa.int32())]
+    none = pa.schema(fields).empty_table()
+
     def packed(table: pa.Table) -> pa.Table:
         # the order within a block follows from the items alone, whatever order they arrive in
         table = table.sort_by([("key", "ascending"), ("size", "ascending")]).combine_chunks()
         table = table.take(pa.array(np.random.default_rng(seed).permutation(table.num_rows)))
-        sizes, block, out = table["size"].to_numpy().astype(np.int64), table["block"][0].as_py(), []
-        for one in table["kinds"][0].as_py():
-            most = int(one["capacity"])
+        sizes, block = table["size"].to_numpy().astype(np.int64), table["block"][0].as_py()
+        out = [none]
+        for name, most in filled:
             parts = np.where(sizes <= most, 1, -(-sizes // most))
             item = np.repeat(np.arange(len(sizes)), parts)
             part = np.arange(len(item)) - np.repeat(np.cumsum(parts) - parts, parts)
             amount = np.where(part == parts[item] - 1, sizes[item] - part * most, most)
             names = [f"{block}-{b}" for b in pack(amount, most).tolist()]
-            kind_of = pa.array([one["kind"]] * len(item), to_arrow_type(kind_type))
-            out.append(pa.table([kind_of, pa.array(names, pa.string()), table["key"].take(pa.array(item)), pa.array(part.astype(np.int32)), pa.array(amount.astype(np.int32))], names=["container_kind", "container_id", "item_key", "part", "n_tokens"]))
+            kind_of = pa.array([name] * len(item), to_arrow_type(kind_type))
+            out.append(pa.table([kind_of, pa.array(names, pa.string()), table["key"].take(pa.array(item)), pa.array(part.astype(np.int32)), pa.array(amount.astype(np.int32))], schema=none.schema))
         return pa.concat_tables(out)
 
     schema = f"container_kind {kind_type.simpleString()}, container_id string, item_key {key_type.simpleString()}, part int, n_tokens int"
