@@ -123,4 +123,12 @@ ORACLE = {
 w AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS word FROM t), s AS (SELECT id, count(*) AS n FROM w GROUP BY id),
 p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM w a JOIN w b ON a.word = b.word AND a.id < b.id GROUP BY ALL)
 SELECT id_a, id_b FROM p JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE c >= 0.7 * (x.n + y.n - c)""",
+    "p4_classes": r"""WITH t AS (SELECT id, lower(concat_ws(' ', stem, array_to_string(options, ' '))) AS text FROM questions),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS word FROM t),
+k AS (SELECT id, list_sort(list(word)) AS words FROM w GROUP BY id),
+m AS (SELECT id, min(id) OVER (PARTITION BY words) AS class_id, count(*) OVER (PARTITION BY words) AS n_copies, len(words) AS n FROM k),
+r AS (SELECT id, n FROM m WHERE id = class_id), v AS (SELECT w.id, word FROM w JOIN r USING (id)),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM v a JOIN v b ON a.word = b.word AND a.id <> b.id GROUP BY ALL),
+l AS (SELECT a, count(*) AS n_links FROM p JOIN r x ON x.id = a JOIN r y ON y.id = b WHERE c >= 0.7 * (x.n + y.n - c) GROUP BY a)
+SELECT m.id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN l ON l.a = class_id""",
 }
