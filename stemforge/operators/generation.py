@@ -65,6 +65,18 @@ def ask(transport: Transport, messages: list[dict], attempts: int, filled: set[s
     return None, attempts, "failed"
 
 
+def ask_structured(transport: Transport, messages: list[dict], sound: Callable[[object], bool]) -> object:
+    """The parsed payload of one call, JSON mode first; an error if it is not ``sound`` as a whole."""
+    try:
+        reply = transport(messages, True)
+    except Exception:
+        reply = transport(messages, False)
+    payload = json.loads(bare_reply(reply or ""))
+    if not sound(payload):
+        raise ValueError("the reply does not have the asked structure")
+    return payload
+
+
 def generate(prompts: DataFrame, key: str, transport: Transport, max_attempts: int = 2, filled: tuple[str, ...] = ("source_ref", "chapter", "section"), parallel: int | None = None, pause: float = 1.0) -> DataFrame:
     """``key``, ``reply`` (null if failed), ``attempts`` and ``status`` of every prompt (column ``messages``).
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemforge.operators import assembly, generation, grounding, prompts, responses
+from stemforge.operators import assembly, generation, grounding, prompts, responses, retrieval
 from stemforge.operators.generation import Transport
+from stemforge.session import written
 
 
 def questions_from_chunks(chunks: DataFrame, per_chunk: int, transport: Transport, max_attempts: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -18,20 +21,48 @@ def questions_from_chunks(chunks: DataFrame, per_chunk: int, transport: Transpor
     return _valid(parsed.where("n_items >= 0"), ["chapter_num", "seq", "chunk_id", "section_label"], defaults, ["chapter_num", "seq"]), replies
 
 
+def target_key() -> F.Column:
+    """(chapter_num, section_label) as one value; a missing label is the empty one."""
+    return F.concat_ws("\u0001", F.col("chapter_num").cast("string"), F.coalesce("section_label", F.lit("")))
+
+
+def retrieve(index: DataFrame, targets: DataFrame, model: Callable[[list[str]], list[list[float]]], k: int) -> DataFrame:
+    """The ``k`` best chunks of each target (chapter_num, section_label) among the chunks of that target.
+
+    ``index`` has ``chunk_id``, ``chapter_num``, ``section_label``, ``text`` and ``embedding``; the target's
+    query text is embedded by the same model. A target without chunks gives none.
+    """
+    asked = targets.select("chapter_num", "section_label", retrieval.query_text(F.col("chapter_num"), F.col("section_label")).alias("q")).distinct()
+    asked = written(retrieval.embed(asked, "q", model).withColumn("target", target_key()), "queries")
+    rows = index.withColumn("target", target_key())
+    found = retrieval.nearest(rows.withColumnRenamed("chunk_id", "key_"), asked.withColumn("key_", F.col("target")), "key_", "embedding", k, "target")
+    hits = found.select(F.col("key").alias("chunk_id"), "rank_no", "distance", retrieval.similarity(F.col("distance")).alias("similarity"))
+    return hits.join(index.select("chunk_id", "chapter_num", "section_label", "text"), "chunk_id")
+
+
+def write_questions(chunks: DataFrame, per_unit: int, transport: Transport, hits: DataFrame | None = None, use_passages: bool = False, k: int = 5, max_attempts: int = 2, check: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Questions from chunks, or with ``use_passages`` from retrieved ``hits``, which then must be given."""
+    if not use_passages:
+        return questions_from_chunks(chunks, per_unit, transport, max_attempts)
+    if hits is None:
+        raise ValueError("questions from passages need hits")
+    return questions_from_passages(hits, per_unit, k, transport, max_attempts, check)
+
+
 def questions_from_passages(hits: DataFrame, per_target: int, k: int, transport: Transport, max_attempts: int = 2, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """(questions, replies): one prompt per (chapter, section) from its best hits.
 
     With ``check``, ``overlap_ratio`` and ``is_grounded`` say how far the explanation rests on the
     passages; no question is dropped for it.
     """
-    asked = prompts.passage_prompts(hits, per_target, k).withColumn("target", F.concat_ws("\u0001", F.col("chapter_num").cast("string"), F.coalesce("section_label", F.lit(""))))
+    asked = prompts.passage_prompts(hits, per_target, k).withColumn("target", target_key())
     replies = generation.generate(asked, "target", transport, max_attempts)
     joined = replies.join(asked.select("target", "chapter_num", "section_label", F.col("source_ref").alias("first_ref")), "target")
     parsed = responses.parse_replies(joined, "reply", ["target", "chapter_num", "section_label", "first_ref"])
     defaults = {"source_ref": F.col("first_ref"), "chapter": F.col("chapter_num"), "section": F.col("section_label")}
     questions = _valid(parsed.where("n_items >= 0"), ["target", "chapter_num", "section_label", "first_ref"], defaults, ["chapter_num", "target"])
     if check:
-        passages = hits.where(F.col("rank_no") <= k).withColumn("target", F.concat_ws("\u0001", F.col("chapter_num").cast("string"), F.coalesce("section_label", F.lit(""))))
+        passages = hits.where(F.col("rank_no") <= k).withColumn("target", target_key())
         context = passages.groupBy("target").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_no", "text"))), lambda x: x["text"]), " ").alias("context"))
         scores = grounding.check_grounding(questions.select("question_no", "target", "explanation"), context, "question_no", "target", "explanation", "target", "context")
         questions = questions.join(scores, "question_no")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stemforge import pipeline
 from stemforge.config import Settings, load_config
-from stemforge.operators import assembly
+from stemforge.operators import assembly, generation
 from stemforge.operators.chunking import ChunkOptions
 from stemforge.sources.readers import ingest
 from stemforge.streaming import incremental
@@ -59,6 +59,24 @@ def test_quiz_from_passages(spark):
     assert got == {"c1": True, "c2": False}
 
 
+def test_retrieval_of_targets(spark):
+    rows = [("a", 1, "1.1", "tree", [1.0, 0.0]), ("b", 1, "1.1", "leaf", [0.0, 1.0]), ("c", 1, None, "lead", [1.0, 0.0]), ("d", 2, "2.1", "rule", [1.0, 1.0])]
+    index = spark.createDataFrame(rows, "chunk_id string, chapter_num int, section_label string, text string, embedding array<double>")
+    targets = spark.createDataFrame([(1, "1.1"), (1, None), (9, "9.9")], "chapter_num int, section_label string")
+    got = pipeline.retrieve(index, targets, lambda texts: [[0.0, 1.0]] * len(texts), 5).collect()
+    assert sorted((r["chapter_num"], r["section_label"] or "", r["rank_no"], r["chunk_id"], r["distance"]) for r in got) == [(1, "", 1, "c", 2.0), (1, "1.1", 1, "b", 0.0), (1, "1.1", 2, "a", 2.0)]
+    questions, _ = pipeline.write_questions(index, 1, lambda m, j: json.dumps([ITEM]), pipeline.retrieve(index, targets, lambda texts: [[0.0, 1.0]] * len(texts), 5), use_passages=True)
+    assert sorted(r["source_ref"] for r in questions.collect()) == ["b", "c"]
+    with pytest.raises(ValueError):
+        pipeline.write_questions(index, 1, lambda m, j: "", use_passages=True)
+
+
+def test_structured_replies():
+    assert generation.ask_structured(lambda m, j: "```\n[1]\n```", [], lambda p: isinstance(p, list)) == [1]
+    with pytest.raises(ValueError):
+        generation.ask_structured(lambda m, j: "{}", [], lambda p: isinstance(p, list))
+
+
 def test_stream_goes_on_and_drops_repeats(spark, tmp_path):
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "doc_id long, text string, received_at timestamp"
