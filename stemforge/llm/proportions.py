@@ -132,7 +132,7 @@ def blueprint_targets(quizzes: DataFrame, quiz: str = "quiz_id", blueprint: str
 
     Blueprints that are null, no JSON object, or lack ``bank_id`` or ``total_questions`` give none;
     repeated rows count once. Categories that are equal after trimming and lower-casing are added up,
-    a share that is no number counts as 0 (a percent sign is dropped), chapters lose leading zeros.
+    a share that is no number counts as 0 (a percent sign is dropped); nothing else is mapped.
     """
     shape = "bank_id string, total_questions string, min_per_category string, difficulty map<string,string>, chapters map<string,string>, bloom_level map<string,string>"
     rows = quizzes.select(F.col(quiz).alias("sample"), F.col(blueprint).alias("text")).where(F.try_parse_json("text").isNotNull() & F.ltrim("text").startswith("{")).distinct()
@@ -141,6 +141,5 @@ def blueprint_targets(quizzes: DataFrame, quiz: str = "quiz_id", blueprint: str
     dims = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"b.{d}").alias("shares")) for d in ("difficulty", "chapters", "bloom_level")])
     rows = rows.select("sample", F.col("b.bank_id").alias("group"), number(F.col("b.total_questions")).alias("total"), number(F.col("b.min_per_category")).alias("floor"), F.explode(dims).alias("d"))
     rows = rows.select("sample", "group", "total", "floor", "d.dimension", F.explode("d.shares").alias("category", "weight"))
-    chapter = F.regexp_replace(normal(F.col("category")), r"^0+(?=\d)", "")
-    rows = rows.withColumns({"category": F.when(F.col("dimension") == "chapters", chapter).otherwise(normal(F.col("category"))), "weight": number(F.col("weight"))})
+    rows = rows.withColumns({"category": normal(F.col("category")), "weight": number(F.col("weight"))})
     return rows.groupBy("sample", "group", "total", "floor", "dimension", "category").agg(F.sum("weight").alias("weight"))

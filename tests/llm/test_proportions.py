@@ -3,8 +3,8 @@ import random
 from stemforge.llm import proportions as p
 
 BLUEPRINTS = [
-    ("a", '{"bank_id": "b1", "total_questions": 10, "min_per_category": 2, "difficulty": {"Easy": 50, "hard ": 50, "none": 0}, "chapters": {"02": 1}}'),
-    ("a", '{"bank_id": "b1", "total_questions": 10, "min_per_category": 2, "difficulty": {"Easy": 50, "hard ": 50, "none": 0}, "chapters": {"02": 1}}'),
+    ("a", '{"bank_id": "b1", "total_questions": 10, "min_per_category": 2, "difficulty": {"Easy": 50, "hard ": 50, "none": 0}, "chapters": {" 2": 1}}'),
+    ("a", '{"bank_id": "b1", "total_questions": 10, "min_per_category": 2, "difficulty": {"Easy": 50, "hard ": 50, "none": 0}, "chapters": {" 2": 1}}'),
     ("b", '{"bank_id": "b1", "total_questions": 3, "difficulty": {"easy": 0.2, "EASY": 0.1, "hard": 0.7}}'),
     ("c", None), ("d", ""), ("e", '{"bank_id": "b1", "total_questions": 5, "difficulty": {"easy"'), ("f", "[1]"), ("g", '{"bank_id": "b1", "difficulty": {"easy": 1}}'), ("h", '{"total_questions": 5, "difficulty": {"easy": 1}}'),
     ("i", '{"bank_id": "zz", "total_questions": 4, "bloom_level": {"apply": "100%"}, "difficulty": null}'), ("j", '"text"'),
