@@ -12,6 +12,7 @@ Words and classes are compared by 64-bit hashes (of the word; of the sorted set)
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from stemforge.session import written
 #: A word is common if it is in one of COMMON_ONE_IN sets. With k words in a set on average, no more
 #: than k * COMMON_ONE_IN words are common, whatever the data; that list goes to every task.
 COMMON_ONE_IN = 1000
+#: Words of the mean set for each 64 bits of the bitmaps, and the most of these.
+WORDS_PER_MAP, MOST_MAPS = 48, 8
 #: Classes in one block of a crowded tile.
 BLOCK = 4000
 
@@ -81,11 +84,11 @@ def _first_words(words: np.ndarray, sizes: np.ndarray, common: np.ndarray, count
     return np.concatenate(rows), np.concatenate(tiles), np.concatenate(few)
 
 
-def _bitmaps(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bitmaps(words: np.ndarray, sizes: np.ndarray, maps: int) -> list[np.ndarray]:
+    """One bit of ``maps`` times 64 for each word of a set."""
+    bits, which = np.left_shift(np.uint64(1), (words & 63).astype(np.uint64)), (words >> 6) % maps
     starts = np.cumsum(sizes) - sizes
-    bits = np.left_shift(np.uint64(1), (words & 63).astype(np.uint64))
-    high = (words >> 6) & 1 == 1
-    return tuple(np.bitwise_or.reduceat(np.where(part, bits, np.uint64(0)), starts).view(np.int64) for part in (~high, high))
+    return [np.bitwise_or.reduceat(np.where(which == i, bits, np.uint64(0)), starts).view(np.int64) for i in range(maps)]
 
 
 def _mixed(word: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -107,7 +110,7 @@ def _crowded(common: np.ndarray, counts: np.ndarray, threshold: float) -> Callab
     return count
 
 
-def _entries(common: np.ndarray, counts: np.ndarray, hot: np.ndarray, blocks: np.ndarray, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _entries(common: np.ndarray, counts: np.ndarray, hot: np.ndarray, blocks: np.ndarray, threshold: float, maps: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Tile entries of each class: size with two flags in ``packed`` (among the fewer words; second block), and bitmaps."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +120,7 @@ def _entries(common: np.ndarray, counts: np.ndarray, hot: np.ndarray, blocks: np
             words = batch.column(1).flatten().to_numpy()
             sizes = batch.column(1).value_lengths().to_numpy().astype(np.int64)
             row, word, few = _first_words(words, sizes, common, counts, threshold)
-            m0, m1 = _bitmaps(words, sizes)
+            bits = _bitmaps(words, sizes, maps)
             n = np.ones(len(word), np.int64)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
@@ -131,7 +134,7 @@ def _entries(common: np.ndarray, counts: np.ndarray, hot: np.ndarray, blocks: np
             # in the tile of two blocks, the flag says which of them
             packed = sizes[row][take] << 3 | few[take] << 2 | (mine > other) << 1 | (mine != other)
             who = row[take]
-            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(packed), pa.array(classes[who]), pa.array(m0[who]), pa.array(m1[who])], names=["tile", "packed", "class", "m0", "m1"])
+            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(packed), pa.array(classes[who]), *(pa.array(m[who]) for m in bits)], names=["tile", "packed", "class", *(f"m{i}" for i in range(maps))])
 
     return enter
 
@@ -144,9 +147,9 @@ def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     """
     share = threshold / (1 + threshold)
 
-    def pairs(tile: np.ndarray, packed: np.ndarray, classes: np.ndarray, m0: np.ndarray, m1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(tile: np.ndarray, packed: np.ndarray, classes: np.ndarray, *bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         size, few, second, crossed = packed >> 3, (packed & 4) > 0, (packed & 2) > 0, (packed & 1) > 0
-        m0, m1 = m0.view(np.uint64), m1.view(np.uint64)
+        bits = [m.view(np.uint64) for m in bits]
         at, step = np.flatnonzero(few), 0
         while True:
             step += 1
@@ -160,8 +163,7 @@ def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             fit = (~crossed[at] | (second[at] != second[b])) & (classes[at] != classes[b])
             a, b = at[fit], b[fit]
             need = np.ceil((size[a] + size[b]) * share - 1e-9)
-            lost_a = np.bitwise_count(m0[a] & ~m0[b]).astype(np.int64) + np.bitwise_count(m1[a] & ~m1[b])
-            lost_b = np.bitwise_count(m0[b] & ~m0[a]).astype(np.int64) + np.bitwise_count(m1[b] & ~m1[a])
+            lost_a, lost_b = (sum(np.bitwise_count(m[x] & ~m[y]).astype(np.int64) for m in bits) for x, y in ((a, b), (b, a)))
             close = np.minimum(size[a] - lost_a, size[b] - lost_b) >= need
             if close.any():
                 x, y = classes[a[close]], classes[b[close]]
@@ -177,7 +179,7 @@ def _compare(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(5)]
+            columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
             if held is not None:
                 columns = [np.concatenate(pair) for pair in zip(held, columns)]
             begin = int(np.searchsorted(columns[0], columns[0][-1]))  # the last tile may go on in the next batch
@@ -196,15 +198,16 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
         raise ValueError("threshold must be above 0 and at most 1")
     # only the common words come to the driver, a number that does not grow with the rows
     frequent = sets.select("h").mapInArrow(_frequent, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    least = sets.agg(F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)) / COMMON_ONE_IN)).alias("least"))
-    listed = frequent.join(F.broadcast(least), F.col("n") >= F.col("least")).select("w", "n").toArrow().sort_by("w")
+    n, words = sets.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("h")), F.lit(1.0))).first()
+    least, maps = max(2, -(-n // COMMON_ONE_IN)), min(MOST_MAPS, math.ceil(words / WORDS_PER_MAP))
+    listed = frequent.where(F.col("n") >= least).select("w", "n").toArrow().sort_by("w")
     common, counts = listed["w"].to_numpy(), listed["n"].to_numpy()
     # of crowded tiles there are no more than entries of a class * 2 * COMMON_ONE_IN
     crowded = sets.select("h").mapInArrow(_crowded(common, counts, threshold), "tile long, n long").groupBy("tile").agg(F.sum("n").alias("n"))
     crowded = crowded.where(F.col("n") > BLOCK).toArrow().sort_by("tile")
     hot, blocks = crowded["tile"].to_numpy(), -(-crowded["n"].to_numpy() // BLOCK)
     classes = sets.select("class", "h").groupBy("class").agg(F.first("h").alias("h"))
-    entries = classes.select("class", "h").mapInArrow(_entries(common, counts, hot, blocks, threshold), "tile long, packed long, class long, m0 long, m1 long")
+    entries = classes.select("class", "h").mapInArrow(_entries(common, counts, hot, blocks, threshold, maps), "tile long, packed long, class long" + "".join(f", m{i} long" for i in range(maps)))
     tiles = entries.repartition("tile").sortWithinPartitions("tile", F.shiftright("packed", 3), "class")
     pairs = tiles.mapInArrow(_compare(threshold), "a long, b long").distinct()
     one, two = classes.select(F.col("class").alias("a"), F.col("h").alias("x")), classes.select(F.col("class").alias("b"), F.col("h").alias("y"))

@@ -36,6 +36,7 @@ def test_all_pairs_of_brute_force(spark, threshold, small, monkeypatch):
     if small:  # everything counts as common, crowded and cut into blocks
         monkeypatch.setattr(nd, "BLOCK", 3)
         monkeypatch.setattr(nd, "COMMON_ONE_IN", 100_000)
+        monkeypatch.setattr(nd, "WORDS_PER_MAP", 4)
     rows = data()
     df = spark.createDataFrame([(k, t, "c", 1) for k, t in rows], "id string, text string, class string, h int")
     got = {(r["id_a"], r["id_b"]) for r in nd.similar_pairs(df, "id", F.col("text"), threshold).collect()}
