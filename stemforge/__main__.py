@@ -15,9 +15,6 @@ from stemforge.operators import assembly, report, structure
 from stemforge.session import local_session, written
 from stemforge.sources.readers import ingest
 
-#: Most questions of one quiz file.
-QUIZ_SIZE = 10_000
-
 
 def http_transport(settings: Settings):
     """Chat completions over HTTP; runs in the tasks."""
@@ -63,7 +60,7 @@ def main(arguments: list[str] | None = None) -> int:
         print("no questions were written", file=sys.stderr)
         return 1
     blueprint = assembly.blueprint(numbers, args.per_chunk, F.lit(chunks.count()), "single-chunk")
-    assembly.write_quiz(pipeline.quiz_of(questions, args.title, blueprint, QUIZ_SIZE, ["chapter_num", "seq", "pos"]), "quiz", args.output)
+    assembly.write_quiz(pipeline.quiz_of(questions, args.title, blueprint, None, ["chapter_num", "seq", "pos"]), "quiz", args.output)
     report.summary(questions, ["chapter", "qtype", "difficulty", "bloom_level"]).orderBy("dimension", "value").show(1000, False)
     report.preview(questions, ["chapter_num", "seq", "pos"]).show(5, False)
     return 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stemforge.operators.report import BLOOM_LEVELS, DIFFICULTIES, QTYPES
 from stemforge.operators.responses import FIELDS
+from stemforge.session import written
 
 QUESTION = "id string, chapter int, section string, qtype string, bloom_level string, difficulty string, stem string, options array<string>, answer string, explanation string, source_ref string"
 
@@ -32,16 +33,40 @@ def blueprint(chapters: Sequence[int] | None, per_chunk: int, total_chunks: Colu
     return F.to_json(held, {"ignoreNullFields": "false"})
 
 
-def assemble(questions: DataFrame, by: str, order: Sequence[str], most: int) -> DataFrame:
-    """One quiz per value of ``by``: its first ``most`` questions in order, ``by``, ``n_questions``, ``questions``.
+def assemble(questions: DataFrame, by: str, order: Sequence[str], most: int | None) -> DataFrame:
+    """One quiz per value of ``by``: its first ``most`` questions in order (None: all of them), ``by``, ``n_questions``, ``questions``.
 
-    ``most`` is the size of a quiz; it also bounds the row that holds one.
+    ``most`` is the size of a quiz; it also bounds the row that holds one. Without it, or to keep what
+    goes beyond it, see :func:`assemble_all`, whose rows are bounded and lose nothing.
     """
     keys = ", ".join(f"`{c}`" for c in order)
-    first = questions.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY `{by}` ORDER BY {keys})")).where(F.col("_r") <= most)
-    held = first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_r", *FIELDS))).alias("_q"))
+    first = questions.withColumn("_r", F.expr(f"row_number() OVER (PARTITION BY `{by}` ORDER BY {keys})"))
+    return _held(first if most is None else first.where(F.col("_r") <= most), by)
+
+
+def assemble_all(questions: DataFrame, by: str, order: Sequence[str], size: int) -> DataFrame:
+    """All questions of each value of ``by`` in order, ``size`` to a quiz: ``by``, ``quiz_no`` from 1, ``n_questions``, ``questions``.
+
+    Only the last quiz of a value may be smaller. ``order`` must tell the questions of a value apart. The
+    rows are range-partitioned by ``by`` and ``order``, so a value with many questions lies in many parts;
+    a rank is the place in the part plus the rows of the value in the parts before.
+    """
+    placed = questions.select(by, *dict.fromkeys([*order, *FIELDS])).repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    placed = written(placed.select(by, *FIELDS, F.monotonically_increasing_id().alias("_at")), "quiz-parts")
+    part = F.shiftright("_at", 33).alias("_part")
+    spans = placed.groupBy(F.col(by).alias("_by"), part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # one row per value and part that holds it
+    spans = spans.withColumn("_before", F.expr("coalesce(sum(_n) OVER (PARTITION BY _by ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    ranked = placed.withColumn("_p", part).join(spans, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_part")))
+    ranked = ranked.withColumn("_r", F.col("_at") - F.col("_first") + F.col("_before"))
+    return _held(ranked.withColumn("quiz_no", F.expr(f"CAST(_r DIV {size} + 1 AS INTEGER)")), by, "quiz_no")
+
+
+def _held(ranked: DataFrame, *by: str) -> DataFrame:
+    """Questions of each ``by`` as an array in the order of ``_r``."""
+    held = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_r", *FIELDS))).alias("_q"))
     fields = lambda x: F.struct(*[x[f].alias(f) for f in FIELDS])
-    return held.select(by, F.size("_q").alias("n_questions"), F.transform("_q", fields).alias("questions"))
+    return held.select(*by, F.size("_q").alias("n_questions"), F.transform("_q", fields).alias("questions"))
 
 
 def quiz_json(quiz_id: Column, title: Column, created_at: Column, settings: Column, questions: Column) -> Column:

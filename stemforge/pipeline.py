@@ -77,8 +77,8 @@ def _valid(parsed: DataFrame, keep: list[str], defaults: dict, order: list[str])
     return items.select("*", number).withColumn("id", F.coalesce("id", fresh)).orderBy(*order, "pos")
 
 
-def quiz_of(questions: DataFrame, title: str, settings: F.Column, most: int, order: list[str]) -> DataFrame:
-    """One quiz as JSON (column ``quiz``) of the first ``most`` questions."""
+def quiz_of(questions: DataFrame, title: str, settings: F.Column, most: int | None, order: list[str]) -> DataFrame:
+    """One quiz as JSON (column ``quiz``) of the first ``most`` questions, or of all (None)."""
     held = assembly.assemble(questions.withColumn("_one", F.lit(1)), "_one", order, most)
     body = assembly.quiz_json(assembly.digest_id(F.lit(title), F.to_json("questions")), F.lit(title), F.current_timestamp(), settings, F.col("questions"))
     return held.select(body.alias("quiz"), "n_questions")

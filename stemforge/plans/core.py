@@ -475,6 +475,14 @@ def q1_quizzes(spark: SparkSession, d: str) -> DataFrame:
     return quizzes.select("bank_id", "n_questions", F.array_join("questions.id", ",").alias("ids"))
 
 
+@query(f"SELECT bank_id, CAST((r - 1) // {QUIZ_SIZE} + 1 AS INTEGER) AS quiz_no, CAST(count(*) AS INTEGER) AS n_questions, string_agg(id, ',' ORDER BY r) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY created_at NULLS FIRST, id NULLS FIRST) AS r FROM (SELECT bank_id, id, min(created_at) AS created_at FROM questions GROUP BY ALL)) GROUP BY ALL")
+def q1_all_quizzes(spark: SparkSession, d: str) -> DataFrame:
+    """All questions of each bank as quizzes; of rows that repeat an id, the first one counts."""
+    once = table(spark, d, "questions").groupBy("bank_id", "id").agg(F.min(F.struct("created_at", *(f for f in responses.FIELDS if f != "id"))).alias("q"))
+    quizzes = assembly.assemble_all(once.select("bank_id", "id", "q.*"), "bank_id", ["created_at", "id"], QUIZ_SIZE)
+    return quizzes.select("bank_id", "quiz_no", "n_questions", F.array_join("questions.id", ",").alias("ids"))
+
+
 @query("""SELECT chapter_num, '{"chapters":null,"per_chunk":2,"total_chunks":' || count(*) || ',"generation_mode":"single-chunk","rag_top_k":null,"grounding_check":null}' AS blueprint, left(md5(CAST(chapter_num AS VARCHAR)), 12) AS quiz_id FROM chunks GROUP BY chapter_num""")
 def q4_blueprint(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "chunks").groupBy("chapter_num").agg(F.count(F.lit(1)).alias("n"))

@@ -235,3 +235,15 @@ def test_assembly_and_files(spark, tmp_path):
     assert json.loads((tmp_path / "deep" / "quiz.json").read_text())["blueprint"]["rag_top_k"] == 5
     assert len(assembly.export_schemas(str(tmp_path / "schemas"))) == 2 and assembly.json_schemas()["quiz.schema.json"]["required"] == ["title"]
     assert len(spark.range(1).select(assembly.new_id()).first()[0]) == 12
+
+
+def test_all_questions_of_a_bank_come_out(spark):
+    fields = ", ".join(f"{f} {'int' if f == 'chapter' else 'array<string>' if f == 'options' else 'string'}" for f in responses.FIELDS)
+    sizes = {"hot": 407, "even": 40, "one": 1, None: 23}
+    rows = [(f"q{i:03}", 1, None, "mcq", "apply", "easy", "A stem", None, "A", "Since.", "c", bank, n - i) for bank, n in sizes.items() for i in range(n)]
+    quizzes = assembly.assemble_all(spark.createDataFrame(rows, fields + ", bank string, at int").repartition(9), "bank", ["at", "id"], 20).collect()
+    for bank, n in sizes.items():
+        own = sorted((r["quiz_no"], r["n_questions"], [q["id"] for q in r["questions"]]) for r in quizzes if r["bank"] == bank)
+        assert [q for _, _, ids in own for q in ids] == [f"q{i:03}" for i in reversed(range(n))]
+        assert [(no, size) for no, size, _ in own] == [(k + 1, min(20, n - 20 * k)) for k in range(-(-n // 20))]
+    assert assembly.assemble_all(spark.createDataFrame([], fields + ", bank string, at int"), "bank", ["at", "id"], 20).count() == 0

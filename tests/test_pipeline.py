@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stemforge import __main__ as command_line
 from stemforge import pipeline
 from stemforge.config import Settings, load_config
 from stemforge.operators import assembly, generation
@@ -52,6 +53,16 @@ def test_quiz_from_chunks(spark, book):
     assert held["title"] == "T" and len(held["questions"]) == quiz["n_questions"] and held["blueprint"]["rag_top_k"] is None and held["created_at"].endswith("Z")
 
 
+def test_command_line_keeps_all_questions(spark, book, tmp_path, monkeypatch):
+    n = 10_003
+    asked = {f: F.lit(v) for f, v in ITEM.items()} | {"id": F.col("id").cast("string"), "chapter": F.lit(1), "section": F.lit(None).cast("string"), "options": F.lit(None).cast("array<string>"), "source_ref": F.lit("c"), "chapter_num": F.lit(1), "seq": F.col("id"), "pos": F.lit(0)}
+    monkeypatch.setattr(pipeline, "questions_from_chunks", lambda *a: (spark.range(n).select(*[v.alias(k) for k, v in asked.items()]), None))
+    monkeypatch.setattr(command_line, "local_session", lambda: spark)
+    assert command_line.main([book, "--output", str(tmp_path / "quiz.json")]) == 0
+    held = json.loads((tmp_path / "quiz.json").read_text())["questions"]
+    assert [q["id"] for q in held] == [str(i) for i in range(n)]
+
+
 def test_quiz_from_passages(spark):
     hits = spark.createDataFrame([(1, "1.1", 1, "c1", "The tree has nodes as it says"), (2, None, 1, "c2", "other words")], "chapter_num int, section_label string, rank_no int, chunk_id string, text string")
     questions, _ = pipeline.questions_from_passages(hits, 1, 5, lambda m, j: json.dumps({"questions": [ITEM]}))
