@@ -38,6 +38,8 @@ _PICTURES = re.compile("[\\s←-⯿︎️‍☀-➿\U0001f000-\U0001faff]+$")
 #: Marks in place of a lost end.
 MARK = re.compile(r"\s*(?:[\[(<{]\s*(?:\.{3,}|…|more|cut|truncated|continued|snip)\s*[\])>}]|…+|(?<!\.)\.{3}|�+)\s*$", re.IGNORECASE)
 _WIDE_TOKEN = re.compile(f"[{_WIDE}]")
+#: Kana and ideographs that count as one word where the length of a line is judged, and words of the longest title.
+WIDE_WORD, TITLE_WORDS = 3, 6
 #: Abbreviations that stand before something.
 _SHORTENED = re.compile(r"(?<!\w)(?:e\.g|i\.e|cf|Fig|Figs|Sec|Eq|Dr|Prof|Mr|Mrs|Ms|vs|approx|z\. ?B|d\. ?h|u\. ?a|bzw|vgl|Abb|p\. ?ej|Sr|Sra|Mme|M)\.$")
 _LEADER, _LED = re.compile(r"[. ]\.{3,}$"), re.compile(r"\.{4,} *\d+ *(?:\n|$)")
@@ -65,6 +67,14 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def n_words(text: str) -> int:
+    """Words between blanks; kana and ideographs, which have no blanks between words, count as one for each WIDE_WORD of them."""
+    wide = 0 if text.isascii() else len(_WIDE_TOKEN.findall(text))
+    if not wide:
+        return len(text.split())
+    return -(-wide // WIDE_WORD) + sum(any(map(str.isalnum, w)) for w in _WIDE_TOKEN.sub(" ", text).split())
+
+
 def _key(words: Iterable[str]) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(words)) - (1 << 63)
 
@@ -284,7 +294,7 @@ def judge(text: str, model: Endings, prior: float = 0.3, short_is_title: bool =
     if mark:
         before = body[: mark.start()]
         line = before.rsplit("\n", 1)[-1]
-        if mark.group().strip().startswith(".") and len(line.split()) < 3:
+        if mark.group().strip().startswith(".") and n_words(line) < 3:
             return Verdict(False, "aside")
         return Verdict(True, "mark")
     fences = len(_FENCE.findall(body)) if "```" in body else 0
@@ -314,7 +324,7 @@ def judge(text: str, model: Endings, prior: float = 0.3, short_is_title: bool =
         return Verdict(prior > 0.8 and model.chance(body[:-1]) < 0.2, "closed")
     if body[-1] in ",;:-–—/\\&+=<|":
         return Verdict(body[-1] not in ":" or prior > 0.5, "joint")
-    if short_is_title and "\n" not in body.strip() and len(body.split()) <= 6 and prior < 0.8:
+    if short_is_title and "\n" not in body.strip() and n_words(body) <= TITLE_WORDS and prior < 0.8:
         return Verdict(False, "title")
     chance = model.chance(body)
     usual = model.usual
