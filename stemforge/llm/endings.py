@@ -1,7 +1,7 @@
 """Whether a text breaks off before its last sentence is complete.
 
-Three kinds of evidence are used. A pushdown parser finds what was opened and never closed: fences,
-brackets, quotations, JSON. A mark (an ellipsis, alone or in brackets) may stand for a lost end. And a
+Three kinds of evidence are used. A pushdown parser finds what was opened and never closed anywhere in
+the text: fences, brackets, quotations, list items, markup, JSON. A mark (an ellipsis, alone or in brackets) may stand for a lost end. And a
 model of endings says how often the last words are followed by the end of a sentence or line: it holds
 counts of word contexts, fitted on a bounded sample of texts, in which names and numbers are classes.
 """
@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that the model of endings is fitted on (those with the smallest hash).
-SAMPLE_ROWS = 4000
+from stemforge.llm.nesting import parse
+
+#: Rows of the sample that the model of endings is fitted on (those with the smallest hash), and its characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 64_000_000
 #: Words of the longest context, and how often a context must occur in the sample to be kept.
 CONTEXT, KEPT_FROM = 4, 2
 #: Texts of the sample that must end with a line before that line is an ending by itself.
@@ -45,8 +48,6 @@ _SHORTENED = re.compile(r"(?<!\w)(?:e\.g|i\.e|cf|Fig|Figs|Sec|Eq|Dr|Prof|Mr|Mrs|
 _LEADER, _LED = re.compile(r"[. ]\.{3,}$"), re.compile(r"\.{4,} *\d+ *(?:\n|$)")
 #: The option of a question, and the share of cut texts among those that end with one without a stop.
 _OPTION, OPTION_PRIOR = re.compile(r"\s*(?:[a-hA-H]\)|\([a-hA-H]\)|[A-H]\.)\s"), 0.05
-_FENCE = re.compile(r"(?m)^\s*```")
-_SENTENCE = re.compile(rf"(?<=[{re.escape(STOPS)}])\s")
 
 
 def tokens(text: str) -> list[str]:
@@ -108,7 +109,7 @@ class Endings:
             return int(self.seen[i]), int(self.ended[i])
         return 0, 0
 
-    @property
+    @cached_property
     def usual(self) -> float:
         """Share of ends among all places."""
         return float(self.ended.sum() + 1) / float(self.seen.sum() + 2)
@@ -124,9 +125,8 @@ class Endings:
 
     def chance(self, text: str) -> float:
         """How likely a sentence or line ends behind ``text``: longer contexts correct shorter ones."""
-        words = tokens(text[-1500:])
-        while words and words[-1] == "\n":
-            words.pop()
+        bare = text.rstrip()
+        words = tokens(bare[bare.rfind("\n") + 1 :])
         if not words:
             return 1.0
         chance = self.usual
@@ -186,13 +186,15 @@ def _rows(texts: Iterable[str]) -> Iterator[tuple[int, int, str | None]]:
 def fit(texts: DataFrame, text: Column, key: Column, rows: int = SAMPLE_ROWS) -> Endings:
     """Counts over the ``rows`` texts with the smallest hash of ``key``; counting is done in tasks.
 
+    The first texts that together have more than SAMPLE_CHARS characters end the sample.
     What comes to the driver is bounded by the sample: contexts seen at least KEPT_FROM times.
     """
     hashed = texts.select(text.alias("t"), F.xxhash64(key).alias("k")).where(F.length("t") > 0)
     # hashes are spread evenly, so a bound on them leaves about twice the rows wanted, from all tasks together
     bound = min(2**63 - 1, 2**64 * 2 * rows // max(1, texts.count()) - 2**63)
     near = hashed.where(F.col("k") <= bound)
-    sample = near.orderBy("k", "t").limit(rows).repartition(8, "k").select("t")
+    first = near.orderBy("k", "t").limit(rows).withColumn("so_far", F.expr("sum(length(t)) OVER (ORDER BY k, t ROWS UNBOUNDED PRECEDING)"))
+    sample = first.where(F.col("so_far") <= SAMPLE_CHARS).repartition(8, "k").select("t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -218,10 +220,6 @@ def fit(texts: DataFrame, text: Column, key: Column, rows: int = SAMPLE_ROWS) ->
     return Endings(table["key"].to_numpy(), table["seen"].to_numpy().astype(np.int32), table["ended"].to_numpy().astype(np.int32), words)
 
 
-_OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "（": "）", "【": "】"}
-_CLOSE = {v: k for k, v in _OPEN.items() if v != "“"}
-
-
 _JSON_SIGNS = re.compile(r"\\.|[\"{}\[\]]", re.DOTALL)
 
 
@@ -249,86 +247,81 @@ def json_is_open(text: str) -> bool | None:
     return True
 
 
-def left_open(line: str) -> int:
-    """How many brackets and quotations of a line are open at its end; closers without opener are passed over."""
-    stack: list[str] = []
-    straight = False
-    for i, c in enumerate(line):
-        if c == '"':
-            straight = not straight
-        elif c == "”" and stack and stack[-1] in "“„":
-            stack.pop()
-        elif c == "“" and stack and stack[-1] == "„":
-            stack.pop()
-        elif c in _OPEN:
-            if c in "([" and i and line[i - 1] in ":;-=":  # a face, not a bracket
-                continue
-            stack.append(c)
-        elif c in _CLOSE and stack and _OPEN.get(stack[-1]) == c:
-            stack.pop()
-    return len(stack) + straight
-
-
 @dataclass
 class Verdict:
     cut: bool
     why: str
 
 
+class Reading:
+    """What the end of a text shows; the verdict then depends on how likely a cut was before it was read."""
+
+    def __init__(self, text: str, model: Endings):
+        self.model, self._chances = model, {}
+        self.settled, self.body = self._settle(text)
+        self.line = self.body.rsplit("\n", 1)[-1]
+
+    def _settle(self, text: str) -> tuple[Verdict | None, str]:
+        """The verdict where nothing else can change it, and the text without white space and pictures at its end."""
+        body = text.rstrip()
+        tail = body[-200:]
+        bare = _PICTURES.sub("", tail) if not tail.isascii() else tail
+        self.pictured = len(bare) < len(tail)
+        body = (body[:-200] + bare).rstrip() if self.pictured else body
+        if not any(map(str.isalnum, body)):
+            return Verdict(False, "nothing"), body
+        mark = MARK.search(body, max(0, len(body) - 40))
+        if mark:
+            before = body[: mark.start()]
+            aside = mark.group().strip().startswith(".") and n_words(before.rsplit("\n", 1)[-1]) < 3
+            return Verdict(not aside, "aside" if aside else "mark"), body
+        opened = json_is_open(body)
+        if opened is not None:
+            return Verdict(opened, "json"), body
+        symbols = parse(body)
+        if symbols:
+            return Verdict(True, symbols[-1].kind), body
+        if body.endswith("```"):
+            return Verdict(False, "fence closed"), body
+        line = body.rsplit("\n", 1)[-1]
+        if _LEADER.search(line) and _LED.search(body):
+            return Verdict(True, "leader"), body  # a line of a table of contents without its page
+        if _SHORTENED.search(body, max(0, len(body) - 12)):
+            return Verdict(True, "abbreviation"), body
+        return None, body
+
+    def chance(self, without: int = 0) -> float:
+        """How likely a sentence or line ends here, or ``without`` characters before."""
+        if without not in self._chances:
+            self._chances[without] = self.model.chance(self.body[: len(self.body) - without])
+        return self._chances[without]
+
+    def verdict(self, prior: float, short_is_title: bool = True) -> Verdict:
+        """``prior`` is the share of cut texts among those that do not end as a sentence, before the text itself is looked at."""
+        if self.settled is not None:
+            return self.settled
+        body, usual = self.body, self.model.usual
+        if _TERMINAL.search(body, max(0, len(body) - 20)):
+            halved = prior > 0.8 and body[-1] == "." and body[-2:-1].isdigit() and self.chance(1) < usual / 2
+            return Verdict(halved, "number" if halved else "sentence")
+        if self.pictured:
+            return Verdict(False, "picture")
+        if body[-1] in _CLOSERS:
+            # what closes at the very end was whole, unless the text met its limit there
+            return Verdict(prior > 0.8 and self.chance(1) < 0.2, "closed")
+        if body[-1] in ",;:-–—/\\&+=<|":
+            return Verdict(body[-1] not in ":" or prior > 0.5, "joint")
+        if short_is_title and "\n" not in body.strip() and n_words(body) <= TITLE_WORDS and prior < 0.8:
+            return Verdict(False, "title")
+        if prior < 0.8 and _OPTION.match(self.line):
+            prior = min(prior, OPTION_PRIOR)  # options are phrases, and end where sentences go on
+        return Verdict(prior > (1 - prior) * self.chance() / usual, f"{self.chance():.3f}")
+
+
 def judge(text: str, model: Endings, prior: float = 0.3, short_is_title: bool = True) -> Verdict:
     """Whether ``text`` breaks off, and by what evidence.
 
-    ``prior`` is the share of cut texts among those that do not end as a sentence, before the text
-    itself is looked at. Null-like texts are no case. A mark counts unless its line is no more than an
-    aside of one or two words.
+    Null-like texts are no case. A mark counts unless its line is no more than an aside of one or two
+    words. ``short_is_title`` takes a line of a few words for a title, unless a cut was likely from the start.
     """
-    body = text.rstrip()
-    tail = body[-200:]
-    bare = _PICTURES.sub("", tail) if not tail.isascii() else tail
-    body = (body[:-200] + bare).rstrip() if len(bare) < len(tail) else body
-    if not any(map(str.isalnum, body)):
-        return Verdict(False, "nothing")
-    pictured = len(body) < len(text.rstrip())
-    offset = max(0, len(body) - 40)
-    mark = MARK.search(body, offset)
-    if mark:
-        before = body[: mark.start()]
-        line = before.rsplit("\n", 1)[-1]
-        if mark.group().strip().startswith(".") and n_words(line) < 3:
-            return Verdict(False, "aside")
-        return Verdict(True, "mark")
-    fences = len(_FENCE.findall(body)) if "```" in body else 0
-    if fences:
-        if fences % 2:
-            return Verdict(True, "fence")
-        if body.endswith("```"):
-            return Verdict(False, "fence closed")
-    opened = json_is_open(body)
-    if opened is not None:
-        return Verdict(opened, "json")
-    line = body.rsplit("\n", 1)[-1]
-    if _LEADER.search(line) and _LED.search(body):
-        return Verdict(True, "leader")  # a line of a table of contents without its page
-    if _SHORTENED.search(body, max(0, len(body) - 12)):
-        return Verdict(True, "abbreviation")
-    if _TERMINAL.search(body, max(0, len(body) - 20)):
-        halved = prior > 0.8 and body[-1] == "." and body[-2:-1].isdigit() and model.chance(body[:-1]) < model.usual / 2
-        return Verdict(halved, "number" if halved else "sentence")
-    if pictured:
-        return Verdict(False, "picture")
-    last = _SENTENCE.split(line)[-1]
-    if left_open(last) > 0:
-        return Verdict(True, "open")
-    if body[-1] in _CLOSERS:
-        # what closes at the very end was whole, unless the text met its limit there
-        return Verdict(prior > 0.8 and model.chance(body[:-1]) < 0.2, "closed")
-    if body[-1] in ",;:-–—/\\&+=<|":
-        return Verdict(body[-1] not in ":" or prior > 0.5, "joint")
-    if short_is_title and "\n" not in body.strip() and n_words(body) <= TITLE_WORDS and prior < 0.8:
-        return Verdict(False, "title")
-    chance = model.chance(body)
-    usual = model.usual
-    if prior < 0.8 and _OPTION.match(line):
-        prior = min(prior, OPTION_PRIOR)  # options are phrases, and end where sentences go on
-    whole, broken = (1 - prior) * chance / usual, prior
-    return Verdict(broken > whole, f"{chance:.3f}")
+    return Reading(text, model).verdict(prior, short_is_title)
