@@ -3,66 +3,94 @@
 from __future__ import annotations
 
 import argparse
-import json
+import logging
 import sys
-import urllib.request
 
 from pyspark.sql import functions as F
 
 from stemforge import pipeline
 from stemforge.config import Settings, load_config
-from stemforge.operators import assembly, report, structure
-from stemforge.session import local_session, written
+from stemforge.operators import assembly, generation, report, retrieval, structure
+from stemforge.session import local_session, release, written
+from stemforge.sources import chat
 from stemforge.sources.readers import ingest
 
+#: Where settings of a course are looked for, and where its index is kept.
+CONFIG, INDEX = "data/chapter_config.yaml", "data/index"
+log = logging.getLogger("stemforge")
 
-def http_transport(settings: Settings):
-    """Chat completions over HTTP; runs in the tasks."""
 
-    def call(messages: list[dict], json_mode: bool) -> str:
-        body = {"model": settings.model, "messages": messages, "temperature": settings.temperature, "max_tokens": 4096}
-        body |= {"response_format": {"type": "json_object"}} if json_mode else {}
-        request = urllib.request.Request(settings.base_url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {settings.api_key}"})
-        with urllib.request.urlopen(request, timeout=600) as reply:
-            return json.load(reply)["choices"][0]["message"]["content"] or ""
-
-    return call
-
-
-def main(arguments: list[str] | None = None) -> int:
-    settings = Settings.from_environment()
+def parser(settings: Settings) -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stemforge", description=__doc__)
-    p.add_argument("book")
+    p.add_argument("book", help="a file, or a pattern for many")
     p.add_argument("--chapters", help="1-3, or 1,2,5, or both")
-    p.add_argument("--config", help="YAML file")
+    p.add_argument("--config", default=CONFIG, help="YAML file")
     p.add_argument("--per-chunk", type=int, default=settings.per_chunk)
     p.add_argument("--output", default="quiz.json")
-    p.add_argument("--title", default="Generated Quiz")
+    p.add_argument("--title")
+    p.add_argument("--show", type=int, default=5, help="questions to preview")
     p.add_argument("--ingest-only", action="store_true")
+    p.add_argument("--rag", action="store_true", help="write questions from retrieved passages")
+    p.add_argument("--no-rag", action="store_true", help="write questions from single chunks, whatever --rag says")
+    p.add_argument("--rag-top-k", type=int, default=5, help="passages for each section")
+    p.add_argument("--no-grounding-check", action="store_true")
+    p.add_argument("--index-dir", default=INDEX, help="folder of the index; one that holds rows is used as it is")
     p.add_argument("--export-schemas", metavar="FOLDER")
+    p.add_argument("-v", "--verbose", action="store_true")
+    return p
+
+
+def main(arguments: list[str] | None = None) -> int:
+    settings = Settings.from_environment()
+    p = parser(settings)
     args = p.parse_args(arguments)
+    logging.basicConfig(format="%(levelname)s %(name)s %(message)s")
+    log.setLevel(logging.DEBUG if args.verbose else logging.INFO)
     if args.export_schemas:
         print(*assembly.export_schemas(args.export_schemas), sep="\n")
     spark = local_session()
+    try:
+        return run(spark, args, settings, p)
+    finally:
+        release(spark)
+
+
+def run(spark, args: argparse.Namespace, settings: Settings, p: argparse.ArgumentParser) -> int:
     numbers = None
     if args.chapters:
         numbers = spark.range(1).select(structure.chapter_numbers(F.lit(args.chapters))).first()[0]
         if numbers is None:
             p.error(f"not a list of chapters: {args.chapters}")
     chunks = written(ingest(spark, args.book, numbers, load_config(args.config)), "chunks")
+    n_chunks = chunks.count()
     report.ingest_totals(chunks, "chapter_num", "section_label", "token_count").orderBy("chapter_num").show(1000, False)
     if args.ingest_only:
-        report.first_of_each(chunks, "chapter_num", ["seq"]).select("chunk_id", F.substring("text", 1, 200).alias("text")).show(1000, False)
+        report.first_of_each(chunks, "chapter_num", ["seq"]).select("chunk_id", "token_count", F.substring("text", 1, 200).alias("text")).show(1000, False)
         return 0
-    questions, _ = pipeline.questions_from_chunks(chunks, args.per_chunk, http_transport(settings))
+    use_rag = args.rag and not args.no_rag
+    index = model = None
+    if use_rag:
+        model = chat.embedder(settings) if settings.embedding_model else retrieval.hashed_vectors
+        if not settings.embedding_model:
+            log.warning("no embedding model is set, a stand-in counts characters")
+        size = retrieval.build_index(retrieval.embed(chunks, "text", model), args.index_dir)
+        log.info("%d chunks are indexed", size)
+        index = retrieval.open_index(spark, args.index_dir)
+    log.debug("about %d questions are expected", n_chunks * args.per_chunk)
+    questions, replies = pipeline.generate_questions(chunks, args.per_chunk, chat.transport(settings), use_passages=use_rag, index=index, model=model, k=args.rag_top_k, check=not args.no_grounding_check)
     questions = written(questions, "questions")
+    if replies is not None:
+        generation.run_counters(replies, questions).show(1, False)
     if questions.isEmpty():
         print("no questions were written", file=sys.stderr)
         return 1
-    blueprint = assembly.blueprint(numbers, args.per_chunk, F.lit(chunks.count()), "single-chunk")
-    assembly.write_quiz(pipeline.quiz_of(questions, args.title, blueprint, None, ["chapter_num", "seq", "pos"]), "quiz", args.output)
+    title = args.title or (f"Quiz — Chapters {args.chapters}" if args.chapters else "Generated Quiz")
+    settled = {"top_k": args.rag_top_k, "grounded": not args.no_grounding_check} if use_rag else {}
+    blueprint = assembly.blueprint(numbers, args.per_chunk, F.lit(n_chunks), "RAG" if use_rag else "single-chunk", **settled)
+    order = ["chapter_num", "target", "pos"] if use_rag else ["chapter_num", "seq", "pos"]
+    assembly.write_quiz(pipeline.quiz_of(questions, title, blueprint, None, order), "quiz", args.output)
     report.summary(questions, ["chapter", "qtype", "difficulty", "bloom_level"]).orderBy("dimension", "value").show(1000, False)
-    report.preview(questions, ["chapter_num", "seq", "pos"]).show(5, False)
+    report.preview(questions, order, args.show).show(args.show, False)
     return 0
 
 

@@ -7,34 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of the rows on, so that at most 1 / HOT_SHARE keys are hot.
-HOT_SHARE = 0.005
-#: Parts a hot key is split into.
-HOT_PARTS = 64
+from stemforge.session import written
+
+#: A key is hot from this share of the rows on, or from HOT_ROWS, which are rows enough for a task, whichever is less.
+HOT_SHARE, HOT_ROWS = 0.005, 1_000_000
+#: Rows under which no key is hot, and the parts a hot key is split into, at least.
+COLD_ROWS, HOT_PARTS = 1000, 64
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Key columns of the hot keys of ``df``: never more than ``1 / share`` rows, whatever the data.
+    """Key columns of the hot keys of ``df`` and the ``_parts`` to split each into.
 
-    Counts are summed on the map side first, so a hot key costs one row per task. Null keys count as
-    keys here (joins do not match them).
+    There are no more than ``1 / share`` of them, or one for each HOT_ROWS rows: a list that is smaller
+    than the rows by six digits. Counts are summed on the map side first, so a hot key costs one row per
+    task. Null keys count as keys here (joins do not match them).
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"))
+    least = F.greatest(F.least(F.col("_all") * share, F.lit(HOT_ROWS)), F.lit(COLD_ROWS))
+    parts = F.greatest(F.lit(HOT_PARTS), F.ceil(F.col("_n") / HOT_ROWS)).cast("int").alias("_parts")
     # one row against the counts; only keys over the share pass
-    return counts.join(F.broadcast(total), F.col("_n") >= F.greatest(F.col("_all") * share, F.lit(1000))).select(*keys)
+    return counts.join(F.broadcast(total), F.col("_n") >= least).select(*keys, parts)
 
 
-def salted(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], parts: int = HOT_PARTS) -> tuple[DataFrame, DataFrame]:
+def salted(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Both sides with a column ``_salt`` to add to the join keys.
 
-    Rows of ``left`` with a hot key are spread by a hash of ``spread`` over ``parts`` salts, and the
-    rows of ``right`` with that key are repeated for each; all other rows keep salt 0. The broadcast
-    list of hot keys has at most ``1 / HOT_SHARE`` rows.
+    Rows of ``left`` with a hot key are spread by a hash of ``spread`` over the parts of the key, and the
+    rows of ``right`` with that key are repeated for each; all other rows keep salt 0. The list of hot
+    keys is found once and written, as both sides are held against it.
     """
-    hot = F.broadcast(hot_keys(left, keys).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
-    left = left.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    right = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    hot = F.broadcast(written(hot_keys(left, keys), "hot-keys"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"), F.lit(0))
+    left = left.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_parts")
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    right = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(salts)).drop("_parts")
     return left, right

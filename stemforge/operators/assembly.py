@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemforge.operators.report import BLOOM_LEVELS, DIFFICULTIES, QTYPES
-from stemforge.operators.responses import FIELDS
+from stemforge.operators.responses import FIELDS, LEAST_LENGTH, MAY_BE_ABSENT, MAY_BE_NULL
 from stemforge.session import written
 
 QUESTION = "id string, chapter int, section string, qtype string, bloom_level string, difficulty string, stem string, options array<string>, answer string, explanation string, source_ref string"
@@ -89,27 +89,50 @@ def write_quiz(quiz: DataFrame, column: str, path: str) -> None:
     target.write_text(json.dumps(json.loads(rows[0][0]), indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
 
 
+#: What the published schemas say of the enumerations, the fields and the examples.
+_ENUMERATIONS = {"QuestionType": (QTYPES, "Supported question formats."), "BloomLevel": (BLOOM_LEVELS, "Bloom's taxonomy cognitive levels (revised, 2001)."), "Difficulty": (DIFFICULTIES, "Three-tier difficulty scale.")}
+_QUESTION_ABOUT = "A single exam / quiz question with full metadata.\n\n``source_ref`` traces the question back to the text chunk(s) that\ngrounded its generation \u2014 essential for the RAG audit trail."
+_QUIZ_ABOUT = "A complete quiz / exam consisting of selected questions.\n\n``blueprint`` stores the professor's constraints that drove the\nAutomated Test Assembly selection so the exam is fully reproducible."
+_ABOUT = {
+    "id": "Unique question identifier.", "chapter": "Chapter number the question belongs to.", "section": "Section label within the chapter (e.g. '2.3').", "qtype": "Question format.", "bloom_level": "Bloom's taxonomy cognitive level.", "difficulty": "Difficulty tier.",
+    "stem": "The question text / prompt shown to the student.", "options": "Answer options (required for MCQ, optional otherwise).", "answer": "The correct answer (letter for MCQ, text otherwise).", "explanation": "Explanation of why the answer is correct, for review.",
+    "source_ref": "Identifier(s) of the source chunk(s) this question is grounded in.", "quiz_id": "Unique quiz identifier.", "title": "Human-readable title for the quiz/exam.", "created_at": "UTC timestamp of creation.", "blueprint": "The blueprint / constraints used to assemble this quiz.", "questions": "Ordered list of questions in this quiz.",
+}
+_QUESTION_EXAMPLE = {
+    "id": "a1b2c3d4e5f6", "chapter": 2, "section": "2.1", "qtype": "mcq", "bloom_level": "understand", "difficulty": "medium", "stem": "Which data structure provides O(1) average-case lookup?", "options": ["Linked list", "Hash table", "Binary tree", "Stack"],
+    "answer": "B", "explanation": "Hash tables use a hash function to map keys to buckets, giving O(1) average-case lookup time.", "source_ref": "ch2_s1_chunk_003",
+}
+_QUIZ_EXAMPLE = {
+    "quiz_id": "exam_2025_v1", "title": "AI-1 Midterm Exam \u2014 Version A", "created_at": "2025-07-01T10:00:00Z", "questions": [],
+    "blueprint": {"total_questions": 20, "chapters": {"1": 10, "2": 6, "3": 4}, "difficulty_mix": {"easy": 0.4, "medium": 0.4, "hard": 0.2}},
+}
+
+
 def json_schemas() -> dict[str, dict]:
-    """JSON Schemas of a question and a quiz."""
-    text = lambda least=0, **x: {"type": "string"} | ({"minLength": least} if least else {}) | x
-    maybe = lambda inner: {"anyOf": [inner, {"type": "null"}], "default": None}
-    question = {
-        "title": "Question",
-        "type": "object",
-        "properties": {
-            "id": text(), "chapter": {"type": "integer", "minimum": 1}, "section": maybe(text()), "qtype": text(enum=list(QTYPES)), "bloom_level": text(enum=list(BLOOM_LEVELS)), "difficulty": text(enum=list(DIFFICULTIES)),
-            "stem": text(10), "options": maybe({"type": "array", "items": text()}), "answer": text(1), "explanation": text(10), "source_ref": text(),
-        },
-        "required": ["chapter", "qtype", "bloom_level", "difficulty", "stem", "answer", "explanation", "source_ref"],
+    """JSON Schemas of a question and a quiz, as published."""
+
+    def field(name: str, **rules: object) -> dict:
+        titled = {} if "$ref" in rules else {"title": name.replace("_", " ").title()}
+        return rules | {"description": _ABOUT[name]} | titled
+
+    def text(name: str, **rules: object) -> dict:
+        return field(name, type="string", **({"minLength": LEAST_LENGTH[name]} if LEAST_LENGTH.get(name) else {}), **rules)
+
+    def may_be_null(name: str, kind: dict) -> dict:
+        return field(name, anyOf=[kind, {"type": "null"}], default=None)
+
+    named = {"QuestionType": "qtype", "BloomLevel": "bloom_level", "Difficulty": "difficulty"}
+    enumerations = {n: {"title": n, "type": "string", "enum": list(values), "description": about} for n, (values, about) in _ENUMERATIONS.items()}
+    fields = {f: text(f) for f in FIELDS} | {f: field(f, **{"$ref": f"#/$defs/{n}"}) for n, f in named.items()}
+    fields |= {"chapter": field("chapter", type="integer", minimum=1), "section": may_be_null("section", {"type": "string"}), "options": may_be_null("options", {"type": "array", "items": {"type": "string"}})}
+    needed = [f for f in FIELDS if f not in (*MAY_BE_NULL, *MAY_BE_ABSENT)]
+    question = {"title": "Question", "type": "object", "description": _QUESTION_ABOUT, "examples": [_QUESTION_EXAMPLE], "properties": fields, "required": needed}
+    held = {
+        "quiz_id": text("quiz_id"), "title": text("title"), "created_at": text("created_at", format="date-time"), "blueprint": field("blueprint", type="object", additionalProperties=True),
+        "questions": field("questions", type="array", items={"$ref": "#/$defs/Question"}),
     }
-    quiz = {
-        "title": "Quiz",
-        "type": "object",
-        "properties": {"quiz_id": text(), "title": text(), "created_at": text(format="date-time"), "blueprint": {"type": "object", "additionalProperties": True}, "questions": {"type": "array", "items": {"$ref": "#/$defs/Question"}}},
-        "required": ["title"],
-        "$defs": {"Question": question},
-    }
-    return {"question.schema.json": question, "quiz.schema.json": quiz}
+    quiz = {"title": "Quiz", "type": "object", "description": _QUIZ_ABOUT, "examples": [_QUIZ_EXAMPLE], "properties": held, "required": ["title"]}
+    return {"question.schema.json": {"$defs": enumerations} | question, "quiz.schema.json": {"$defs": enumerations | {"Question": question}} | quiz}
 
 
 def export_schemas(folder: str = "schemas") -> list[str]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemforge.operators.report import BLOOM_LEVELS, DIFFICULTIES, QTYPES
+from stemforge.operators.responses import is_valid
 from stemforge.session import written
 
 #: transport(messages, json_mode) -> reply text
@@ -25,29 +25,11 @@ def bare_reply(reply: str) -> str:
     return text
 
 
-def usable(item: object, filled: set[str]) -> bool:
-    """Whether an item would pass :func:`stemforge.operators.responses.validate_items`."""
-    if not isinstance(item, dict):
-        return False
-    least = {"stem": 10, "answer": 1, "explanation": 10, "source_ref": 0}
-    domains = {"qtype": QTYPES, "bloom_level": BLOOM_LEVELS, "difficulty": DIFFICULTIES}
-    texts = all((f in filled and f not in item) or (isinstance(item.get(f), str) and len(item[f]) >= n) for f, n in least.items())
-    options = item.get("options")
-    sound = options is None or isinstance(options, list) and all(isinstance(o, str) for o in options)
-    section = item.get("section")
-    chapter = item.get("chapter", 1 if "chapter" in filled else None)
-    try:
-        number = float(chapter) if isinstance(chapter, (int, float, str)) else 0.0
-    except ValueError:
-        number = 0.0
-    return texts and sound and (section is None or isinstance(section, str)) and number >= 1 and number == int(number) and all(item.get(f) in d for f, d in domains.items())
-
-
 def ask(transport: Transport, messages: list[dict], attempts: int, filled: set[str], pause: float) -> tuple[str | None, int, str]:
-    """(reply, attempts made, status) of one prompt: the first reply with a usable item, else ``failed``.
+    """(reply, attempts made, status) of one prompt: the first reply with a valid item, else ``failed``.
 
     Each attempt tries JSON mode first and plain text after any error. An error pauses before the next
-    attempt; a reply without a usable item does not.
+    attempt; a reply without a valid item does not.
     """
     for attempt in range(1, attempts + 1):
         try:
@@ -57,7 +39,7 @@ def ask(transport: Transport, messages: list[dict], attempts: int, filled: set[s
                 reply = transport(messages, False)
             payload = json.loads(bare_reply(reply or ""))
             items = payload.get("questions", []) if isinstance(payload, dict) else payload
-            if isinstance(items, list) and any(usable(i, filled) for i in items):
+            if isinstance(items, list) and any(is_valid(i, filled) for i in items):
                 return reply, attempt, "ok"
         except Exception:
             if attempt < attempts:
@@ -95,6 +77,15 @@ def generate(prompts: DataFrame, key: str, transport: Transport, max_attempts: i
     return written(spread.mapInPandas(call, f"{key} {kind}, reply string, attempts int, status string"), "replies")
 
 
-def run_counters(replies: DataFrame) -> DataFrame:
-    """One row: prompts, answered, failed, attempts. Counted from the rows, so a repeated task counts once."""
-    return replies.agg(F.count(F.lit(1)).alias("n_prompts"), F.count_if(F.col("status") == "ok").alias("n_answered"), F.count_if(F.col("status") != "ok").alias("n_failed"), F.sum("attempts").alias("n_attempts"))
+def run_counters(replies: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """One row: prompts, answered, failed, attempts; with ``questions`` also how many there are and are not grounded.
+
+    Counted from the rows, so a repeated task counts once. Questions without a grounding check count as
+    none that failed it.
+    """
+    counts = replies.agg(F.count(F.lit(1)).alias("n_prompts"), F.count_if(F.col("status") == "ok").alias("n_answered"), F.count_if(F.col("status") != "ok").alias("n_failed"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("n_attempts"))
+    if questions is None:
+        return counts
+    failed = F.count_if(~F.col("is_grounded")) if "is_grounded" in questions.columns else F.lit(0).cast("long")
+    # one row meets one row
+    return counts.join(questions.agg(F.count(F.lit(1)).alias("n_questions"), failed.alias("n_not_grounded")), F.lit(True))

@@ -1,8 +1,8 @@
 """References to records that do not exist, for keys of any number of columns.
 
 A reference key may be null in part. References are grouped by which of their key columns are null
-(the null mask); the references of one mask are compared on their non-null columns only, by one join
-for each mask that the declared match semantics call for:
+(the null mask); the references of one mask are compared on their non-null columns only. The mask is a
+part of the join key, so one anti-join serves every mask that the declared match semantics call for:
 
 ``simple``   a reference with any null column is never an orphan;
 ``partial``  the non-null columns must occur together in one target row; all null is no orphan;
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemforge.functions.skew import salted
+from stemforge.session import written
 
 #: What separates ids in a field: white space and , ; | " ' [ ]
 SEPARATORS = r"""(?U)[\s,;|"'\[\]]+"""
@@ -34,33 +35,20 @@ def split_ids(field: Column) -> Column:
     return F.array_distinct(F.filter(ids, lambda x: x != ""))
 
 
-def _compare(refs: DataFrame, targets: DataFrame, mine: list[str], theirs: list[str], timed: bool) -> DataFrame:
-    """``refs`` and the reason why each is an orphan, null if it is none; one row for each of ``refs``.
+def _spans(targets: DataFrame, by: list[str]) -> DataFrame:
+    """Disjoint spans of each key in which a target row exists.
 
-    Target rows of a key are folded first: into one, or where ``timed`` into disjoint spans.
+    Rows of one key that touch or overlap become one span, and each span is carried on to the begin of
+    the next (the first one back without end), so that a reference meets exactly one row of its key.
     """
-    keys = [f"_k{i}" for i in range(len(mine))]
-    refs = refs.withColumns({k: F.col(c) for k, c in zip(keys, mine)})
-    targets = targets.select(*[F.col(c).alias(k) for k, c in zip(keys, theirs)], *(["_from", "_to"] if timed else [])).dropna(subset=keys).distinct()
-    if not timed:
-        left, right = salted(refs, targets.withColumn("_there", F.lit(True)), keys, ["_row"])
-        reason = F.when(F.col("_there").isNull(), F.lit("missing"))
-        return left.join(right, [*keys, "_salt"], "left").withColumn("reason", reason).drop(*keys, "_salt", "_there")
-    # rows of one key that touch or overlap become one span, and each span is carried on to the begin of
-    # the next (the first one back without end), so that a reference meets exactly one row of its key
     far = F.lit("9999-12-31 23:59:59").cast("timestamp")
     spans = targets.where("_from is not null").withColumn("_to", F.greatest(F.col("_from"), F.coalesce("_to", far)))
-    by = "PARTITION BY " + ", ".join(keys) + " ORDER BY _from, _to"
-    spans = spans.withColumn("_before", F.expr(f"max(_to) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-    spans = spans.withColumn("_group", F.expr(f"sum(CASE WHEN _before >= _from THEN 0 ELSE 1 END) OVER ({by} ROWS UNBOUNDED PRECEDING)"))
-    spans = spans.groupBy(*keys, "_group").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    by = "PARTITION BY " + ", ".join(keys) + " ORDER BY _from"
-    spans = spans.withColumns({"_next": F.expr(f"lead(_from) OVER ({by})"), "_begin": F.when(F.col("_group") > 1, F.col("_from"))})
-    left, right = salted(refs, spans.drop("_group"), keys, ["_row"])
-    on = [left[k] == right[k] for k in [*keys, "_salt"]]
-    on += [right["_begin"].isNull() | (left["_at"] >= right["_begin"]), right["_next"].isNull() | (left["_at"] < right["_next"])]
-    reason = F.when(right["_from"].isNull(), "missing").when(left["_at"] < right["_from"], "late").when(left["_at"] >= right["_to"], "deleted")
-    return left.join(right, on, "left").select(*[left[c] for c in refs.columns if c not in keys], reason.alias("reason"))
+    keys = ", ".join(by)
+    spans = spans.withColumn("_before", F.expr(f"max(_to) OVER (PARTITION BY {keys} ORDER BY _from, _to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+    spans = spans.withColumn("_group", F.expr(f"sum(CASE WHEN _before >= _from THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY _from, _to ROWS UNBOUNDED PRECEDING)"))
+    spans = spans.groupBy(*by, "_group").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    spans = spans.withColumns({"_next": F.expr(f"lead(_from) OVER (PARTITION BY {keys} ORDER BY _from)"), "_begin": F.when(F.col("_group") > 1, F.col("_from"))})
+    return spans.drop("_group")
 
 
 def find_orphans(
@@ -83,38 +71,45 @@ def find_orphans(
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"match must be simple, partial or full, not {match!r}")
-    mine, theirs = [f"_m{i}" for i in range(len(keys))], list(keys.values())
+    names = [f"_k{i}" for i in range(len(keys))]
     timed = at is not None
     # the whole reference row travels as one value, so that its columns may have any names
     refs = references.select(F.struct(*[F.col(f"`{c}`") for c in references.columns if c != "reason"]).alias("_row")).distinct()
-    refs = refs.withColumns({m: F.col(f"_row.`{c}`") for m, c in zip(mine, keys)})
+    null = F.concat(*[F.col(f"_row.`{c}`").isNull().cast("int").cast("string") for c in keys])
+    refs = refs.select("_row", null.alias("_mask"), *[F.col(f"_row.`{c}`").alias(k) for k, c in zip(names, keys)], *([F.col(f"_row.`{at}`").alias("_at")] if timed else []))
+    refs = refs.where(F.contains("_mask", F.lit("0")))
+    complete = F.col("_mask") == "0" * len(names)
+    if match == "simple":
+        refs = refs.where(complete)
+    # read twice, for the hot keys and for the join
+    refs = written(refs, "references")
+    parts = []
+    if match == "full":
+        parts.append(refs.where(~complete).select("_row", F.lit("partly_null").alias("reason")))
+        refs = refs.where(complete)
     times = [F.col(f"`{valid_from}`").alias("_from"), (F.col(f"`{valid_to}`") if valid_to else F.lit(None).cast("timestamp")).alias("_to")] if timed else []
-    target = targets.select(*[F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(theirs)], *times)
-    theirs = [f"_t{i}" for i in range(len(theirs))]
+    target = targets.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(names, keys.values())], *times)
+    # a target row answers to each mask under which it is compared on columns that it has; the number of masks follows from the keys
+    masks = ["".join(m) for m in product("01", repeat=len(names)) if "0" in m] if match == "partial" else ["0" * len(names)]
+    seen = lambda m: [F.when(F.lit(m[i] == "0"), F.col(k)).alias(k) for i, k in enumerate(names)]
+    fits = lambda m: F.forall(F.array(*[F.col(k).isNotNull() for i, k in enumerate(names) if m[i] == "0"]), lambda x: x)
+    answers = F.filter(F.array(*[F.when(fits(m), F.struct(F.lit(m).alias("_mask"), *seen(m))) for m in masks]), lambda x: x.isNotNull())
+    target = target.withColumn("_a", F.explode(answers)).select("_a.*", *(["_from", "_to"] if timed else [])).distinct()
+    by = ["_mask", *names]
+    # null columns of a mask are equal on both sides, so they meet under a value of their own
+    meets = lambda df: df.withColumn("_key", F.xxhash64(*by))
+    known = meets(_spans(target, by) if timed else target.withColumn("_from", F.lit(True)))
+    left, right = salted(meets(refs), known, ["_key"], ["_row"])
+    on = [left[k].eqNullSafe(right[k]) if k in names else left[k] == right[k] for k in ["_key", "_salt", *by]]
     if timed:
-        refs = refs.withColumn("_at", F.col(f"_row.`{at}`"))
-    parts: list[DataFrame] = []
-    for mask in product((False, True), repeat=len(mine)):
-        if all(mask):
-            continue
-        some = refs
-        for column, null in zip(mine, mask):
-            some = some.where(F.col(column).isNull() if null else F.col(column).isNotNull())
-        if any(mask) and match == "simple":
-            continue
-        if any(mask) and match == "full":
-            parts.append(some.withColumn("reason", F.lit("partly_null")))
-            continue
-        held = [(a, b) for a, b, null in zip(mine, theirs, mask) if not null]
-        a, b = [x for x, _ in held], [y for _, y in held]
-        if timed:
-            parts.append(_compare(some.where("_at is not null"), target, a, b, True))
-            parts.append(_compare(some.where("_at is null"), target.where("_from is not null"), a, b, False))
-        else:
-            parts.append(_compare(some, target, a, b, False))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
+        # a reference without a time meets the first span
+        on += [right["_begin"].isNull() | (left["_at"] >= right["_begin"]), right["_next"].isNull() | (F.coalesce(left["_at"], F.lit("0001-01-01").cast("timestamp")) < right["_next"])]
+    reason = F.when(right["_from"].isNull(), "missing")
+    if timed:
+        reason = reason.when(left["_at"] < right["_from"], "late").when(left["_at"] >= right["_to"], "deleted")
+    out = left.join(right, on, "left").select(left["_row"], reason.alias("reason"))
+    for part in parts:
+        out = out.unionByName(part)
     return out.where("reason is not null").select("_row.*", "reason")
 
 

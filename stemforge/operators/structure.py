@@ -9,75 +9,76 @@ from pyspark.sql import functions as F
 
 from stemforge.functions.text import strip
 
-#: ``(?d)``: a line ends at the newline only, as in the titles' source.
+#: Titles of chapters and sections. ``(?d)``: a line ends at the newline only, as in the titles' source.
 CHAPTER_TITLE = r"(?d)^(\d+)\s+(.+)$"
 SECTION_TITLE = r"(?d)^(\d+\.\d+(?:\.\d+)?)\s+(.+)$"
-#: Default headings of plain text and Markdown.
+#: Default headings of plain text and Markdown.
 CHAPTER_HEADING = r"^#+\s+Chapter\s+(\d+)[:\s]+(.+)"
 SECTION_HEADING = r"^##+\s+(\d+\.\d+)\s+(.+)"
 _MARK, _FIELD = "\u0001", "\u0002"
 
 
-def match_titles(toc: DataFrame, pattern: str) -> DataFrame:
-    """Entries whose stripped title matches: ``ord``, ``label``, ``title``, ``page``; null titles match nothing."""
+def match_titles(toc: DataFrame, pattern: str, book: Sequence[str] = ()) -> DataFrame:
+    """Entries whose stripped title matches: ``book``, ``ord``, ``label``, ``title``, ``page``; null titles match nothing."""
     t = strip(F.col("title"))
-    return toc.where(t.rlike(pattern)).select("ord", F.regexp_extract(t, pattern, 1).alias("label"), F.regexp_extract(t, pattern, 2).alias("title"), "page")
+    return toc.where(t.rlike(pattern)).select(*book, "ord", F.regexp_extract(t, pattern, 1).alias("label"), F.regexp_extract(t, pattern, 2).alias("title"), "page")
 
 
-def chapters(toc: DataFrame, total_pages: int | Column) -> DataFrame:
-    """``ord``, ``number``, ``title``, ``page_start``, ``page_end``; a chapter ends before the next matched one.
+def _total(total_pages: int | Column) -> Column:
+    return total_pages if isinstance(total_pages, Column) else F.lit(total_pages)
 
-    Entries of any level count. A table of contents is the contents of one book, so its window has no
-    partition; for many books at once add the book to ``toc`` and use :func:`chapters_by`.
-    """
-    return chapters_by(toc, [], total_pages)
 
+def chapters(toc: DataFrame, total_pages: int | Column, book: Sequence[str] = ()) -> DataFrame:
+    """``book``, ``ord``, ``number``, ``title``, ``page_start``, ``page_end``; a chapter ends before the next matched one of its book.
 
-def chapters_by(toc: DataFrame, book: Sequence[str], total_pages: int | Column) -> DataFrame:
-    total = total_pages if isinstance(total_pages, Column) else F.lit(total_pages)
-    t = strip(F.col("title"))
-    matched = toc.where(t.rlike(CHAPTER_TITLE)).select(*book, "ord", F.regexp_extract(t, CHAPTER_TITLE, 1).cast("int").alias("number"), F.regexp_extract(t, CHAPTER_TITLE, 2).alias("title"), F.col("page").alias("page_start"))
-    w = Window.partitionBy(*book).orderBy("ord") if book else Window.orderBy("ord")
-    return matched.withColumn("page_end", F.coalesce(F.lead("page_start").over(w) - 1, total))
+    Entries of any level count. ``book`` names the columns that tell books apart, so no window holds more
+    than the contents of one; without it, ``toc`` is one book. ``total_pages`` may be a column of ``toc``.
+    """
+    matched = match_titles(toc.withColumn("_total", _total(total_pages)), CHAPTER_TITLE, [*book, "_total"])
+    matched = matched.select(*book, "ord", F.col("label").cast("int").alias("number"), "title", F.col("page").alias("page_start"), "_total")
+    following = F.lead("page_start").over(Window.partitionBy(*book).orderBy("ord"))
+    return matched.withColumn("page_end", F.coalesce(following - 1, F.col("_total"))).drop("_total")
 
 
-def sections(toc: DataFrame, total_pages: int | Column) -> DataFrame:
-    """``number``, ``chapter_ord``, ``sec_ord``, ``label``, ``title``, ``page_start``, ``page_end``.
+def sections(toc: DataFrame, total_pages: int | Column, book: Sequence[str] = ()) -> DataFrame:
+    """``book``, ``number``, ``chapter_ord``, ``sec_ord``, ``label``, ``title``, ``page_start``, ``page_end``.
 
-    A section belongs to every chapter whose number is its leading integer and ends before the next one
-    of that chapter, the last with its chapter. A chapter without sections has one, ``{number}.0``, over
-    its whole range.
+    A section belongs to every chapter of its book whose number is its leading integer and ends before the
+    next one of that chapter, the last with its chapter. A chapter without sections has one,
+    ``{number}.0``, over its whole range.
     """
-    chapter = chapters(toc, total_pages).select(F.col("ord").alias("chapter_ord"), "number", F.col("title").alias("chapter_title"), F.col("page_start").alias("chapter_start"), F.col("page_end").alias("chapter_end"))
-    titles = match_titles(toc, SECTION_TITLE).withColumn("number", F.split("label", r"\.")[0].cast("int"))
-    w = Window.partitionBy("chapter_ord").orderBy("sec_ord")
-    held = chapter.join(titles.withColumnRenamed("ord", "sec_ord"), "number")
-    held = held.withColumn("page_end", F.coalesce(F.lead("page").over(w) - 1, F.col("chapter_end")))
-    held = held.select("number", "chapter_ord", "sec_ord", "label", "title", F.col("page").alias("page_start"), "page_end")
-    bare = chapter.join(titles.select("number").distinct(), "number", "left_anti")
-    bare = bare.select("number", "chapter_ord", F.col("chapter_ord").alias("sec_ord"), F.format_string("%d.0", "number").alias("label"), F.col("chapter_title").alias("title"), F.col("chapter_start").alias("page_start"), F.col("chapter_end").alias("page_end"))
-    return held.unionByName(bare)
-
-
-def section_texts(section: DataFrame, pages: DataFrame, page_count: int | Column) -> DataFrame:
-    """Each section of each ``book`` of ``pages`` (``book``, ``page_no``, ``text``) with its pages' text.
+    book = list(book)
+    chapter = chapters(toc, total_pages, book).select(*book, F.col("ord").alias("chapter_ord"), "number", F.col("title").alias("chapter_title"), F.col("page_start").alias("chapter_start"), F.col("page_end").alias("chapter_end"))
+    titles = match_titles(toc, SECTION_TITLE, book).withColumn("number", F.split("label", r"\.")[0].cast("int")).withColumnRenamed("ord", "sec_ord")
+    # a chapter without a section keeps its own row, which then is its section
+    held = chapter.join(titles, [*book, "number"], "left")
+    bare = F.col("sec_ord").isNull()
+    following = F.lead("page").over(Window.partitionBy(*book, "chapter_ord").orderBy("sec_ord"))
+    own = {
+        "sec_ord": F.coalesce("sec_ord", "chapter_ord"), "label": F.when(bare, F.format_string("%d.0", "number")).otherwise(F.col("label")), "title": F.when(bare, F.col("chapter_title")).otherwise(F.col("title")),
+        "page_start": F.when(bare, F.col("chapter_start")).otherwise(F.col("page")), "page_end": F.coalesce(following - 1, F.col("chapter_end")),
+    }
+    return held.select(*book, "number", "chapter_ord", *[c.alias(n) for n, c in own.items()])
+
+
+def section_texts(section: DataFrame, pages: DataFrame, page_count: int | Column, book: Sequence[str] = ("book",)) -> DataFrame:
+    """Each section of each book with the text of its pages; ``pages`` has ``book``, ``page_no`` and ``text``.
 
     Pages of the range are put together in order, a newline between them, and stripped. A section whose
     range is empty, or whose pages are missing, has an empty text (``is_empty``). The range becomes page
-    numbers first, so that the join is one of equal keys; a page belongs to as many sections as hold it.
+    numbers first, so that the join is one of equal books and pages; a page belongs to as many sections
+    as hold it. ``page_count`` may be a column of ``section``.
     """
-    count = page_count if isinstance(page_count, Column) else F.lit(page_count)
-    last = F.least(F.col("page_end"), count)
-    # sequence() counts down where the end comes first
-    numbers = F.when(F.col("page_start") <= last, F.sequence("page_start", last)).otherwise(F.array().cast("array<int>"))
-    keys = ["number", "chapter_ord", "sec_ord", "label", "title", "page_start", "page_end"]
-    wanted = section.select(*keys, F.explode(numbers).alias("page_no"))
-    found = pages.join(wanted, "page_no").groupBy("book", *keys).agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
-    text = strip(F.array_join(F.transform("p", lambda x: x["text"]), "\n"))
-    books = pages.select("book").distinct()
-    every = books.crossJoin(F.broadcast(section.select(*keys)))
-    out = every.join(found.select("book", "chapter_ord", "sec_ord", "number", text.alias("text")), ["book", "chapter_ord", "sec_ord", "number"], "left")
-    return out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("is_empty", F.col("text") == "")
+    book = list(book)
+    last = F.least(F.col("page_end"), _total(page_count))
+    # sequence() counts down where the end comes first; a section without a page keeps its row
+    numbers = F.when(F.col("page_start") <= last, F.sequence("page_start", last))
+    keys = [*book, "number", "chapter_ord", "sec_ord", "label", "title", "page_start", "page_end"]
+    wanted = section.select(*keys, F.explode_outer(numbers).alias("page_no"))
+    found = wanted.join(pages.select(*book, "page_no", F.col("text").alias("_t")), [*book, "page_no"], "left")
+    parts = F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("page_no", "_t"))))
+    text = strip(F.array_join(F.transform(parts, lambda x: x["_t"]), "\n")).alias("text")
+    return found.groupBy(*keys).agg(text).withColumn("is_empty", F.col("text") == "")
 
 
 def heading_slices(documents: DataFrame, key: str, text: str, chapter: str = CHAPTER_HEADING, section: str = SECTION_HEADING, numbers: Sequence[int] | None = None) -> DataFrame:

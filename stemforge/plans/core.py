@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stemforge import pipeline
+from stemforge.config import IngestConfig
 from stemforge.functions.text import split_paragraphs, split_sentences, strip, token_count
 from stemforge.operators import assembly, chunking, generation, grounding, prompts, report, responses, retrieval, structure
-from stemforge.session import shared_folder
+from stemforge.session import run_folder, written
+from stemforge.sources import readers
 from stemforge.sources.tables import table
 
 #: White space as the SQL side writes it.
@@ -119,66 +122,110 @@ def c7_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 # --- structure
 
-_TOC = f"WITH t AS (SELECT ord, {_strip('title')} AS title, page FROM toc), total AS (SELECT max(page) AS pages FROM toc)"
-_CH = r", ch AS (SELECT ord, CAST(regexp_extract(title, '^(\d+)\s+(.+)$', 1) AS INTEGER) AS number, regexp_extract(title, '^(\d+)\s+(.+)$', 2) AS title, page AS page_start, coalesce(lead(page) OVER (ORDER BY ord) - 1, pages) AS page_end FROM t, total WHERE regexp_full_match(title, '(\d+)\s+(.+)'))"
-_SEC = r""", st AS (SELECT ord, regexp_extract(title, '^(\d+\.\d+(?:\.\d+)?)\s+(.+)$', 1) AS label, regexp_extract(title, '^(\d+\.\d+(?:\.\d+)?)\s+(.+)$', 2) AS title, page FROM t WHERE regexp_full_match(title, '(\d+\.\d+(\.\d+)?)\s+(.+)')),
-held AS (SELECT ch.number, ch.ord AS chapter_ord, st.ord AS sec_ord, label, st.title, page AS page_start, coalesce(lead(page) OVER (PARTITION BY ch.ord ORDER BY st.ord) - 1, ch.page_end) AS page_end FROM ch JOIN st ON CAST(split_part(label, '.', 1) AS INTEGER) = ch.number),
-sec AS (SELECT * FROM held UNION ALL SELECT number, ord, ord, number || '.0', title, page_start, page_end FROM ch WHERE number NOT IN (SELECT number FROM held))"""
+_TOC = f"""WITH total AS (SELECT max(page) AS pages FROM toc), pg AS (SELECT doc_id // pages AS book, doc_id % pages + 1 AS page_no, coalesce(text, '') AS text FROM documents, total),
+t AS (SELECT book, ord, {_strip('title')} AS title, page FROM toc JOIN pg ON page = page_no)"""
+_CH = r", ch AS (SELECT book, ord, CAST(regexp_extract(title, '^(\d+)\s+(.+)$', 1) AS INTEGER) AS number, regexp_extract(title, '^(\d+)\s+(.+)$', 2) AS title, page AS page_start, coalesce(lead(page) OVER (PARTITION BY book ORDER BY ord) - 1, pages) AS page_end FROM t, total WHERE regexp_full_match(title, '(\d+)\s+(.+)'))"
+_SEC = r""", st AS (SELECT book, ord, regexp_extract(title, '^(\d+\.\d+(?:\.\d+)?)\s+(.+)$', 1) AS label, regexp_extract(title, '^(\d+\.\d+(?:\.\d+)?)\s+(.+)$', 2) AS title, page FROM t WHERE regexp_full_match(title, '(\d+\.\d+(\.\d+)?)\s+(.+)')),
+held AS (SELECT ch.book, ch.number, ch.ord AS chapter_ord, st.ord AS sec_ord, label, st.title, page AS page_start, coalesce(lead(page) OVER (PARTITION BY ch.book, ch.ord ORDER BY st.ord) - 1, ch.page_end) AS page_end FROM ch JOIN st ON st.book = ch.book AND CAST(split_part(label, '.', 1) AS INTEGER) = ch.number),
+sec AS (SELECT * FROM held UNION ALL SELECT book, number, ord, ord, number || '.0', title, page_start, page_end FROM ch WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.book = ch.book AND held.number = ch.number))"""
 
 
-def _pages(spark: SparkSession, d: str) -> int:
-    """Pages of the book that the (fixed) table of contents describes."""
-    return table(spark, d, "toc").agg(F.max("page")).first()[0]
+def _books(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    """(toc, pages, pages of a book): the documents as pages of as many books as they fill.
 
+    Each book has the entries of the (fixed) table of contents for the pages that it has.
+    """
+    contents = table(spark, d, "toc")
+    n = contents.agg(F.max("page")).first()[0]
+    pages = table(spark, d, "documents").select(F.expr(f"doc_id div {n}").alias("book"), F.expr(f"doc_id % {n} + 1").cast("int").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
+    toc = pages.select("book", "page_no").join(F.broadcast(contents), F.col("page") == F.col("page_no")).drop("page_no")
+    return toc, pages, n
 
-@query(_TOC + _CH + " SELECT ord, number, title, page_start FROM ch")
+
+@query(_TOC + _CH + " SELECT book, ord, number, title, page_start FROM ch")
 def toc_chapters(spark: SparkSession, d: str) -> DataFrame:
-    return structure.chapters(table(spark, d, "toc"), _pages(spark, d)).drop("page_end")
+    toc, _, n = _books(spark, d)
+    return structure.chapters(toc, n, ["book"]).drop("page_end")
 
 
 @query(_TOC + _CH + " SELECT * FROM ch")
 def toc_chapter_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return structure.chapters(table(spark, d, "toc"), _pages(spark, d))
+    toc, _, n = _books(spark, d)
+    return structure.chapters(toc, n, ["book"])
 
 
-@query(_TOC + _CH + _SEC + " SELECT number, chapter_ord, sec_ord, label, title FROM sec")
+@query(_TOC + _CH + _SEC + " SELECT book, number, chapter_ord, sec_ord, label, title FROM sec")
 def toc_sections(spark: SparkSession, d: str) -> DataFrame:
-    return structure.sections(table(spark, d, "toc"), _pages(spark, d)).drop("page_start", "page_end")
+    toc, _, n = _books(spark, d)
+    return structure.sections(toc, n, ["book"]).drop("page_start", "page_end")
 
 
 @query(_TOC + _CH + _SEC + " SELECT * FROM sec")
 def toc_section_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return structure.sections(table(spark, d, "toc"), _pages(spark, d))
+    toc, _, n = _books(spark, d)
+    return structure.sections(toc, n, ["book"])
 
 
 @query(
     _TOC
     + _CH
     + _SEC
-    + f""", pg AS (SELECT doc_id // pages AS book, doc_id % pages + 1 AS page_no, coalesce(text, '') AS text FROM documents, total), b AS (SELECT DISTINCT book FROM pg),
-j AS (SELECT book, number, chapter_ord, sec_ord, label, string_agg(pg.text, chr(10) ORDER BY page_no) AS text FROM sec JOIN total ON TRUE JOIN pg ON page_no BETWEEN page_start AND least(page_end, pages) GROUP BY ALL),
-o AS (SELECT b.book, sec.number, sec.label, sec.sec_ord, coalesce({_strip('j.text')}, '') AS text FROM b CROSS JOIN sec LEFT JOIN j ON j.book = b.book AND j.number = sec.number AND j.chapter_ord = sec.chapter_ord AND j.sec_ord = sec.sec_ord)
+    + f""", j AS (SELECT sec.book, number, chapter_ord, sec_ord, label, string_agg(pg.text, chr(10) ORDER BY page_no) AS text FROM sec JOIN total ON TRUE LEFT JOIN pg ON pg.book = sec.book AND page_no BETWEEN page_start AND least(page_end, pages) GROUP BY ALL),
+o AS (SELECT book, number, label, sec_ord, coalesce({_strip('text')}, '') AS text FROM j)
 SELECT book, number, label, sec_ord, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest, text = '' AS is_empty FROM o"""
 )
 def toc_section_text(spark: SparkSession, d: str) -> DataFrame:
-    """The documents as the pages of books with the contents of ``toc``, as many books as they fill."""
-    pages = _pages(spark, d)
-    book = table(spark, d, "documents").select((F.expr(f"doc_id div {pages}")).alias("book"), (F.expr(f"doc_id % {pages} + 1")).cast("int").alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
-    out = structure.section_texts(structure.sections(table(spark, d, "toc"), pages), book, pages)
+    toc, pages, n = _books(spark, d)
+    out = structure.section_texts(structure.sections(toc, n, ["book"]), pages, n)
     return out.select("book", "number", "label", "sec_ord", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), "is_empty")
 
 
-@query(
-    rf"""WITH m AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)^(\d+)\.\d+[ \t]+([A-Z].*)$', chr(1) || '\1' || chr(2) || '\2' || chr(2), 'g'), chr(1))) AS c, generate_subscripts(string_split(regexp_replace(text, '(?m)^(\d+)\.\d+[ \t]+([A-Z].*)$', chr(1) || '\1' || chr(2) || '\2' || chr(2), 'g'), chr(1)), 1) - 1 AS chapter_pos FROM documents WHERE text IS NOT NULL),
+def _book_files(spark: SparkSession, d: str) -> str:
+    """The books as text files, one for each; a folder of its own for each run."""
+    _, pages, _ = _books(spark, d)
+    ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    path = f"{run_folder(spark)}/books-{uuid.uuid4().hex}"
+    pages.groupBy("book").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("value")).repartition("book").write.partitionBy("book").text(path)
+    return f"{path}/*/*.txt"
+
+
+_BOOK_TEXT = "b AS (SELECT book, string_agg(text, chr(10) ORDER BY page_no) || chr(10) AS text FROM pg GROUP BY book)"
+_NUMBERED = (r"^(\d+)\.\d+[ \t]+([A-Z].*)$", r"^Exercise (\d+\.\d+)[:\s]+(.+)")
+
+
+@query(_TOC + f", {_BOOK_TEXT} SELECT CAST(book AS INTEGER) AS book, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM b")
+def s3_read_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole text files, as many as the documents fill."""
+    texts = readers.read_texts(spark, _book_files(spark, d))
+    return texts.select(F.regexp_extract("book", r"book=(\d+)", 1).cast("int").alias("book"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query()
+def s1_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the same files; its parts have SQL of their own (s3_read_texts, heading_slices, c4_overlap_chunks, c7_chunk_ids)."""
+    config = IngestConfig(_SMALL, *_NUMBERED)
+    return readers.ingest(spark, _book_files(spark, d), None, config).withColumn("book", F.regexp_extract("book", r"book=(\d+)", 1).cast("int"))
+
+
+_SLICES = rf"""WITH m AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)^(\d+)\.\d+[ \t]+([A-Z].*)$', chr(1) || '\1' || chr(2) || '\2' || chr(2), 'g'), chr(1))) AS c, generate_subscripts(string_split(regexp_replace(text, '(?m)^(\d+)\.\d+[ \t]+([A-Z].*)$', chr(1) || '\1' || chr(2) || '\2' || chr(2), 'g'), chr(1)), 1) - 1 AS chapter_pos FROM documents WHERE text IS NOT NULL),
 ch AS (SELECT doc_id, chapter_pos, CAST(string_split(c, chr(2))[1] AS INTEGER) AS number, {_strip('string_split(c, chr(2))[2]')} AS title, array_to_string(string_split(c, chr(2))[3:], chr(2)) AS body FROM m WHERE chapter_pos > 0),
 s AS (SELECT *, string_split(regexp_replace(body, '(?m)^Exercise (\d+\.\d+)[:\s]+(.+)', chr(1) || '\1' || chr(2) || '\2' || chr(2), 'g'), chr(1)) AS p FROM ch),
 o AS (SELECT doc_id, number, chapter_pos, 1 AS sec_pos, number || '.0' AS label, title, {_strip('body')} AS text FROM s WHERE len(p) = 1
-UNION ALL SELECT doc_id, number, chapter_pos, i - 1, string_split(p[i], chr(2))[1], {_strip('string_split(p[i], chr(2))[2]')}, {_strip('array_to_string(string_split(p[i], chr(2))[3:], chr(2))')} FROM s, unnest(range(2, len(p) + 1)) u(i) WHERE len(p) > 1)
-SELECT doc_id, number, CAST(chapter_pos AS INTEGER) AS chapter_pos, CAST(sec_pos AS INTEGER) AS sec_pos, label, title, text FROM o"""
-)
+UNION ALL SELECT doc_id, number, chapter_pos, i - 1, string_split(p[i], chr(2))[1], {_strip('string_split(p[i], chr(2))[2]')}, {_strip('array_to_string(string_split(p[i], chr(2))[3:], chr(2))')} FROM s, unnest(range(2, len(p) + 1)) u(i) WHERE len(p) > 1)"""
+
+
+@query(_SLICES + " SELECT doc_id, number, CAST(chapter_pos AS INTEGER) AS chapter_pos, CAST(sec_pos AS INTEGER) AS sec_pos, label, title, text FROM o")
 def heading_slices(spark: SparkSession, d: str) -> DataFrame:
     """Numbered headings open a chapter, exercises are its sections."""
-    return structure.heading_slices(table(spark, d, "documents"), "doc_id", "text", r"^(\d+)\.\d+[ \t]+([A-Z].*)$", r"^Exercise (\d+\.\d+)[:\s]+(.+)")
+    return structure.heading_slices(table(spark, d, "documents"), "doc_id", "text", *_NUMBERED)
+
+
+@query(_SLICES + " SELECT 'some' AS asked, number, count(*) AS n FROM o WHERE number IN (1, 2, 3) GROUP BY number UNION ALL SELECT 'empty', number, count(*) FROM o GROUP BY number")
+def f2_text_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Of texts, a list of chapters keeps these, and an empty list keeps all."""
+    found = structure.heading_slices(table(spark, d, "documents"), "doc_id", "text", *_NUMBERED)
+    kept = [structure.keep_chapters(found, "number", numbers, empty_is_all=True).groupBy("number").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("asked"), "number", "n") for name, numbers in (("some", [1, 2, 3]), ("empty", []))]
+    return kept[0].unionByName(kept[1])
 
 
 @query("SELECT chunk_id, chapter_num, seq FROM chunks WHERE chapter_num IN (1, 2, 3)")
@@ -210,11 +257,47 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT chapter_num, count(*) AS n_indexed, CAST(sum(len(embedding)) AS BIGINT) AS n_numbers FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY chapter_num")
 def v2_index_build(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/index-{hashlib.md5(d.encode()).hexdigest()[:8]}"
-    retrieval.build_index(_vectors(spark, d), path, rebuild=True)
+    path = f"{run_folder(spark)}/index-{uuid.uuid4().hex}"
+    retrieval.build_index(_vectors(spark, d), path)
     return spark.read.parquet(path).groupBy("chapter_num").agg(F.count(F.lit(1)).alias("n_indexed"), F.sum(F.size("embedding")).alias("n_numbers"))
 
 
+def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with one row per id, the first one taken in."""
+    rows = table(spark, d, "chunks")
+    return rows.groupBy("chunk_id").agg(F.min(F.struct("ingested_at", *(c for c in rows.columns if c not in ("chunk_id", "ingested_at")))).alias("c")).select("chunk_id", "c.*")
+
+
+_CHUNK_ROWS = "k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at NULLS FIRST, chapter_num NULLS FIRST, section_label NULLS FIRST, text NULLS FIRST, token_count NULLS FIRST, page_start, page_end, seq, deleted_at NULLS FIRST) AS _r FROM chunks) WHERE _r = 1)"
+
+
+@query("SELECT DISTINCT md5(text) AS digest, list_transform(range(8), lambda i: CAST(len(list_filter(string_split(text, ''), lambda c: unicode(c) % 8 = i)) AS FLOAT)) AS embedding FROM (SELECT coalesce(text, '') AS text FROM chunks)")
+def v1_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of texts by an injected model, here a stand-in that counts code points."""
+    texts = table(spark, d, "chunks").select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    return retrieval.embed(texts, "text", retrieval.hashed_vectors).select(F.md5("text").alias("digest"), "embedding")
+
+
+@query(f"WITH {_CHUNK_ROWS}, f AS (SELECT count(*) AS n FROM k WHERE chapter_num <= 3) SELECT n AS n_first, n AS n_kept, (SELECT count(*) FROM k) AS n_rebuilt, n AS n_read FROM f")
+def v2_index_kept(spark: SparkSession, d: str) -> DataFrame:
+    """An index that holds rows is kept though other chunks are given, unless it is to be built anew."""
+    rows = written(_chunk_rows(spark, d), "index-chunks")
+    first = rows.where("chapter_num <= 3")
+    path = f"{run_folder(spark)}/index-{uuid.uuid4().hex}"
+    counts = [retrieval.build_index(first, path), retrieval.build_index(rows, path)]
+    read = spark.read.parquet(path).count()
+    counts.append(retrieval.build_index(rows, path, rebuild=True))
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in zip(("n_first", "n_kept", "n_rebuilt", "n_read"), [*counts, read])])
+
+
+@query(f"WITH {_CHUNK_ROWS} SELECT chapter_num, nullif(section_label, '') AS section_label, count(*) AS n FROM k GROUP BY ALL")
+def f9_index_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that went into an index as empty come back as null."""
+    path = f"{run_folder(spark)}/index-{uuid.uuid4().hex}"
+    retrieval.build_index(_chunk_rows(spark, d), path)
+    return retrieval.open_index(spark, path).groupBy("chapter_num", "section_label").agg(F.count(F.lit(1)).alias("n"))
+
+
 _TOPK = """WITH q AS (SELECT vec_id AS query, label, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0),
 x AS (SELECT query, vec_id, pow(list_distance(CAST(embedding AS DOUBLE[]), q), 2) AS distance FROM q JOIN embeddings e ON {on}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank_no FROM x)
@@ -310,6 +393,48 @@ def a8_run_counters(spark: SparkSession, d: str) -> DataFrame:
     return generation.run_counters(generation.generate(asked, "chunk_id", _stub, pause=0.0))
 
 
+@query(f"WITH {_CHUNK_ROWS} SELECT 'single-chunk' AS mode, chapter_num, count(*) FILTER (WHERE chunk_id NOT LIKE '%5') AS n FROM k GROUP BY chapter_num UNION ALL SELECT 'RAG', chapter_num, count(*) FROM (SELECT DISTINCT chapter_num, nullif(section_label, '') FROM k) GROUP BY chapter_num")
+def g1_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of each chapter in either mode; passages come from an index by the stand-in's vectors."""
+    rows = written(_chunk_rows(spark, d).withColumn("section_label", F.nullif("section_label", F.lit(""))), "mode-chunks")
+    index = written(retrieval.embed(rows, "text", retrieval.hashed_vectors), "mode-index")
+    single, _ = pipeline.generate_questions(rows, 1, _stub, pause=0.0)
+    passages, _ = pipeline.generate_questions(rows, 1, _passage_stub, use_passages=True, index=index, model=retrieval.hashed_vectors, pause=0.0)
+    counts = [q.groupBy(F.col("chapter").alias("chapter_num")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "chapter_num", "n") for mode, q in (("single-chunk", single), ("RAG", passages))]
+    every = rows.select(F.lit("single-chunk").alias("mode"), "chapter_num").distinct()
+    none = every.join(counts[0], ["mode", "chapter_num"], "left_anti").withColumn("n", F.lit(0).cast("long"))
+    return counts[0].unionByName(none).unionByName(counts[1])
+
+
+def _passage_stub(messages: list[dict], json_mode: bool) -> str:
+    """A transport for passages; one question about the first of them."""
+    item = {"qtype": "cloze", "bloom_level": "apply", "difficulty": "easy", "stem": "What do the passages say of ____?", "answer": "nothing", "explanation": "It stands in the passages."}
+    return json.dumps([item])
+
+
+@query(f"WITH {_CHUNK_ROWS} SELECT chunk_id, chapter_num AS chapter, section_label AS section, chunk_id AS source_ref FROM k WHERE chunk_id NOT LIKE '%5'")
+def g9_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Chapter, section and source of the chunk fill what a reply leaves out."""
+    questions, _ = pipeline.questions_from_chunks(_chunk_rows(spark, d), 1, _stub, pause=0.0)
+    return questions.select("chunk_id", "chapter", "section", "source_ref")
+
+
+@query("SELECT DISTINCT chunk_id, chunk_id NOT LIKE '%5' AS is_sound FROM chunks")
+def g11_structured(spark: SparkSession, d: str) -> DataFrame:
+    """Replies that must have one structure as a whole, or are an error."""
+    asked = prompts.chunk_prompts(table(spark, d, "chunks").dropDuplicates(["chunk_id"]), 1)
+
+    @F.udf("boolean")
+    def sound(messages):
+        try:
+            generation.ask_structured(_stub, [m.asDict() for m in messages], lambda x: isinstance(x, dict) and isinstance(x.get("questions"), list))
+            return True
+        except ValueError:
+            return False
+
+    return asked.select("chunk_id", sound("messages").alias("is_sound"))
+
+
 # --- replies
 
 _BARE = f"""b AS (SELECT doc_id, {_strip('text')} AS t FROM documents),
@@ -464,25 +589,43 @@ def t4_first_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 # --- assembly
 
-#: Questions of one quiz.
-QUIZ_SIZE = 20
+#: Questions of one quiz, and of one part of a bank's whole quiz (the size of a row).
+QUIZ_SIZE, PART_SIZE = 20, 1000
 
 
-@query(f"SELECT bank_id, CAST(count(*) AS INTEGER) AS n_questions, string_agg(id, ',' ORDER BY created_at, id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY created_at, id) AS r FROM (SELECT DISTINCT bank_id, id, created_at FROM questions)) WHERE r <= {QUIZ_SIZE} GROUP BY bank_id")
+@query(f"SELECT bank_id, CAST((r - 1) // {PART_SIZE} + 1 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS n_questions, string_agg(id, ',' ORDER BY r) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY created_at NULLS FIRST, id NULLS FIRST) AS r FROM (SELECT bank_id, id, min(created_at) AS created_at FROM questions GROUP BY ALL)) GROUP BY ALL")
 def q1_quizzes(spark: SparkSession, d: str) -> DataFrame:
-    """The first questions of each bank as a quiz."""
-    quizzes = assembly.assemble(table(spark, d, "questions").dropDuplicates(["bank_id", "id"]), "bank_id", ["created_at", "id"], QUIZ_SIZE)
-    return quizzes.select("bank_id", "n_questions", F.array_join("questions.id", ",").alias("ids"))
+    """Each bank as one quiz of all its questions, in parts of rows that stay bounded."""
+    parts = assembly.assemble_all(_once(spark, d), "bank_id", ["created_at", "id"], PART_SIZE).withColumnRenamed("quiz_no", "part")
+    return parts.select("bank_id", "part", "n_questions", F.array_join("questions.id", ",").alias("ids"))
+
+
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with one row per bank and id; of rows that repeat an id, the first one counts."""
+    once = table(spark, d, "questions").groupBy("bank_id", "id").agg(F.min(F.struct("created_at", *(f for f in responses.FIELDS if f != "id"))).alias("q"))
+    return once.select("bank_id", "id", "q.*")
 
 
 @query(f"SELECT bank_id, CAST((r - 1) // {QUIZ_SIZE} + 1 AS INTEGER) AS quiz_no, CAST(count(*) AS INTEGER) AS n_questions, string_agg(id, ',' ORDER BY r) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY created_at NULLS FIRST, id NULLS FIRST) AS r FROM (SELECT bank_id, id, min(created_at) AS created_at FROM questions GROUP BY ALL)) GROUP BY ALL")
 def q1_all_quizzes(spark: SparkSession, d: str) -> DataFrame:
-    """All questions of each bank as quizzes; of rows that repeat an id, the first one counts."""
-    once = table(spark, d, "questions").groupBy("bank_id", "id").agg(F.min(F.struct("created_at", *(f for f in responses.FIELDS if f != "id"))).alias("q"))
-    quizzes = assembly.assemble_all(once.select("bank_id", "id", "q.*"), "bank_id", ["created_at", "id"], QUIZ_SIZE)
+    """All questions of each bank as quizzes of QUIZ_SIZE."""
+    quizzes = assembly.assemble_all(_once(spark, d), "bank_id", ["created_at", "id"], QUIZ_SIZE)
     return quizzes.select("bank_id", "quiz_no", "n_questions", F.array_join("questions.id", ",").alias("ids"))
 
 
+@query(f"SELECT bank_id, CAST((r - 1) // {QUIZ_SIZE} + 1 AS INTEGER) AS quiz_no, CAST(count(*) AS INTEGER) AS n_questions, TRUE AS has_id, TRUE AS is_dated FROM (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY created_at NULLS FIRST, id NULLS FIRST) AS r FROM (SELECT bank_id, id, min(created_at) AS created_at FROM questions GROUP BY ALL)) GROUP BY ALL")
+def k1_quiz_files(spark: SparkSession, d: str) -> DataFrame:
+    """Quizzes written as files of JSON and read again; each has a random id of its own, and the time of writing."""
+    quizzes = assembly.assemble_all(_once(spark, d), "bank_id", ["created_at", "id"], QUIZ_SIZE)
+    body = assembly.quiz_json(assembly.new_id(), F.concat_ws(" ", "bank_id", "quiz_no"), F.current_timestamp(), F.to_json(F.struct("bank_id", "quiz_no")), F.col("questions"))
+    path = f"{run_folder(spark)}/quizzes-{uuid.uuid4().hex}"
+    quizzes.select(body.alias("value")).write.text(path)
+    back = spark.read.text(path).select(F.get_json_object("value", "$.blueprint.bank_id").alias("bank_id"), F.get_json_object("value", "$.blueprint.quiz_no").cast("int").alias("quiz_no"), assembly.read_quiz(F.col("value")).alias("q"))
+    own = F.count(F.lit(1)).over(Window.partitionBy("q.quiz_id")) == 1
+    recent = F.abs(F.unix_seconds(F.current_timestamp()) - F.unix_seconds("q.created_at")) < 86_400
+    return back.select("bank_id", "quiz_no", F.size("q.questions").alias("n_questions"), (own & F.col("q.quiz_id").rlike("^[0-9a-f]{12}$")).alias("has_id"), recent.alias("is_dated"))
+
+
 @query("""SELECT chapter_num, '{"chapters":null,"per_chunk":2,"total_chunks":' || count(*) || ',"generation_mode":"single-chunk","rag_top_k":null,"grounding_check":null}' AS blueprint, left(md5(CAST(chapter_num AS VARCHAR)), 12) AS quiz_id FROM chunks GROUP BY chapter_num""")
 def q4_blueprint(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "chunks").groupBy("chapter_num").agg(F.count(F.lit(1)).alias("n"))

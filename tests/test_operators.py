@@ -34,10 +34,24 @@ def test_structure(spark):
     # two sections on one page: the first is empty; a chapter without sections has one; the last ends with its chapter
     assert got == {"1.1": (3, 2), "1.2": (3, 8), "2.0": (9, 11), "3.1.2": (14, 30)}
     pages = spark.createDataFrame([(0, p, f"p{p} ") for p in range(1, 16)], "book int, page_no int, text string")
-    text = {r["label"]: (r["text"], r["is_empty"]) for r in structure.section_texts(structure.sections(toc, 30), pages, 15).collect()}
+    text = {r["label"]: (r["text"], r["is_empty"]) for r in structure.section_texts(structure.sections(toc, 30).withColumn("book", F.lit(0)), pages, 15).collect()}
     assert text["1.1"] == ("", True) and text["2.0"] == ("p9 \np10 \np11", False) and text["3.1.2"] == ("p14 \np15", False)
 
 
+def test_books_keep_their_own_contents(spark):
+    toc = spark.createDataFrame([("a", *e, 30) for e in TOC] + [("b", 0, 1, "1 Games", 1, 4), ("b", 1, 2, "1.1 Rules", 2, 4), ("b", 2, 1, "2 Ends", 4, 4)], "book string, ord int, level int, title string, page int, n int")
+    found = structure.sections(toc, F.col("n"), ["book"])
+    got = {(r["book"], r["label"]): (r["title"], r["page_start"], r["page_end"]) for r in found.collect()}
+    assert {k: v for k, v in got.items() if k[0] == "b"} == {("b", "1.1"): ("Rules", 2, 3), ("b", "2.0"): ("Ends", 4, 4)}
+    assert {k[1]: v[1:] for k, v in got.items() if k[0] == "a"} == {"1.1": (3, 2), "1.2": (3, 8), "2.0": (9, 11), "3.1.2": (14, 30)}
+    pages = spark.createDataFrame([(b, p, f"{b}{p}") for b, n in (("a", 15), ("b", 4)) for p in range(1, n + 1)], "book string, page_no int, text string")
+    text = {(r["book"], r["label"]): r["text"] for r in structure.section_texts(found.withColumn("n", F.when(F.col("book") == "a", 15).otherwise(4)), pages, F.col("n")).collect()}
+    assert text[("a", "3.1.2")] == "a14\na15" and text[("b", "1.1")] == "b2\nb3" and text[("b", "2.0")] == "b4" and text[("a", "1.1")] == "" and len(text) == 6
+    assert structure.section_texts(found.limit(0).withColumn("n", F.lit(1)), pages, F.col("n")).count() == 0
+    plan = structure.section_texts(found, pages, 15)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_heading_slices(spark):
     md = "intro\n# Chapter 1: Search\nlead\n## 1.1 Trees\nbody a\n## 1.2 Graphs\nbody b\n# Chapter 2 Logic\nonly text\n"
     df = spark.createDataFrame([(1, md), (2, "no headings"), (3, None)], "doc int, text string")
@@ -247,3 +261,50 @@ def test_all_questions_of_a_bank_come_out(spark):
         assert [q for _, _, ids in own for q in ids] == [f"q{i:03}" for i in reversed(range(n))]
         assert [(no, size) for no, size, _ in own] == [(k + 1, min(20, n - 20 * k)) for k in range(-(-n // 20))]
     assert assembly.assemble_all(spark.createDataFrame([], fields + ", bank string, at int"), "bank", ["at", "id"], 20).count() == 0
+
+
+def test_both_validators_follow_the_same_rules(spark):
+    import json
+
+    good = {"chapter": 2, "section": None, "qtype": "mcq", "bloom_level": "apply", "difficulty": "easy", "stem": "Which list is it?", "options": ["a", "b"], "answer": "A", "explanation": "It is the open list.", "source_ref": "c"}
+    changes = [{}, {"id": "x"}, {"id": None}, {"id": 5}, {"section": "2.1"}, {"section": 2}, {"options": None}, {"options": []}, {"options": ["a", 1]}, {"options": "a"}, {"stem": "short"}, {"stem": None}, {"stem": "          "}, {"answer": ""}, {"answer": " "}, {"answer": 5}, {"explanation": "x" * 9}, {"source_ref": ""}, {"source_ref": None}]
+    changes += [{"chapter": c} for c in ("2", " 2 ", 2.0, "2.0", "+2", "2.", True, False, 2.5, "2.5", 0, -1, None, "x", "1e0", 1e20, 4e9, "99999999999", [2], {"a": 1})]
+    changes += [{f: v} for f in ("qtype", "bloom_level", "difficulty") for v in ("essay", None, "MCQ", 3, ["mcq"])]
+    items = [good | c for c in changes] + [{k: v for k, v in good.items() if k != f} for f in good] + ["text", 3, None, [], {}]
+    rows = spark.createDataFrame([(i, json.dumps([x])) for i, x in enumerate(items)], "n int, reply string")
+    for filled in ((), ("chapter", "section", "source_ref")):
+        defaults = {f: F.lit(1) if f == "chapter" else F.lit("d") for f in filled}
+        found = responses.validate_items(responses.parse_replies(rows, "reply", ["n"]), ["n"], defaults)
+        theirs = {r["n"]: len(r["reject_reasons"]) == 0 for r in found.collect()}
+        assert theirs == {i: responses.is_valid(x, filled) for i, x in enumerate(items)}, [x for i, x in enumerate(items) if theirs[i] != responses.is_valid(x, filled)]
+
+
+def test_published_schemas():
+    from stemforge.operators import assembly
+
+    question, quiz = assembly.json_schemas().values()
+    assert list(question["properties"]) == list(responses.FIELDS) and question["required"] == ["chapter", "qtype", "bloom_level", "difficulty", "stem", "answer", "explanation", "source_ref"]
+    assert question["properties"]["stem"] == {"description": "The question text / prompt shown to the student.", "minLength": 10, "title": "Stem", "type": "string"}
+    assert question["properties"]["qtype"] == {"$ref": "#/$defs/QuestionType", "description": "Question format."} and "minLength" not in question["properties"]["source_ref"]
+    assert question["properties"]["options"]["anyOf"] == [{"type": "array", "items": {"type": "string"}}, {"type": "null"}] and question["properties"]["options"]["default"] is None
+    assert set(quiz["$defs"]) == {"QuestionType", "BloomLevel", "Difficulty", "Question"} and quiz["$defs"]["Question"] | {"$defs": question["$defs"]} == question and quiz["required"] == ["title"]
+
+
+def test_nearest_streams_the_index_and_broadcasts_the_grid(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, [rng.random(), rng.random()], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, g int")
+    asked = df.where("id % 5 = 0")
+    want = {}
+    for i, q, _ in rows[::5]:
+        want[i] = [r[0] for r in sorted(rows, key=lambda r: (sum((a - b) ** 2 for a, b in zip(r[1], q)), r[0]))[:4]]
+    for group, block, once in ((50_000, 20_000, 256), (7, 3, 2)):
+        monkeypatch.setattr(retrieval, "GROUP_ROWS", group)
+        monkeypatch.setattr(retrieval, "BLOCK_QUERIES", block)
+        monkeypatch.setattr(retrieval, "AT_ONCE", once)
+        got = {}
+        for r in retrieval.nearest(df, asked, "id", "v", 4).orderBy("query", "rank_no").collect():
+            got.setdefault(r["query"], []).append(r["key"])
+        assert got == want

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemforge import __main__ as command_line
-from stemforge import pipeline
+from stemforge import pipeline, session
 from stemforge.config import Settings, load_config
 from stemforge.operators import assembly, generation
 from stemforge.operators.chunking import ChunkOptions
@@ -35,12 +35,16 @@ def test_ingest(spark, book, tmp_path):
             ingest(spark, bad)
 
 
-def test_settings(monkeypatch, tmp_path):
+def test_settings(monkeypatch, tmp_path, caplog):
     monkeypatch.setenv("STEMFORGE_PER_CHUNK", "3")
     monkeypatch.setenv("STEMFORGE_OTHER", "x")
     assert Settings.from_environment().per_chunk == 3
     (tmp_path / "empty.yaml").write_text("")
-    assert load_config(str(tmp_path / "empty.yaml")) == load_config(None) == load_config("none.yaml")
+    assert load_config(str(tmp_path / "empty.yaml")) == load_config(None)
+    assert load_config("none.yaml") == load_config(None) and "none.yaml" in caplog.text
+    (tmp_path / ".env").write_text("# a comment\nSTEMFORGE_MODEL = \"m1\"\nexport STEMFORGE_PER_CHUNK=9\nOTHER=1\nnothing\n")
+    held = Settings.from_environment(file=str(tmp_path / ".env"))
+    assert (held.model, held.per_chunk) == ("m1", 3)
 
 
 def test_quiz_from_chunks(spark, book):
@@ -76,10 +80,65 @@ def test_retrieval_of_targets(spark):
     targets = spark.createDataFrame([(1, "1.1"), (1, None), (9, "9.9")], "chapter_num int, section_label string")
     got = pipeline.retrieve(index, targets, lambda texts: [[0.0, 1.0]] * len(texts), 5).collect()
     assert sorted((r["chapter_num"], r["section_label"] or "", r["rank_no"], r["chunk_id"], r["distance"]) for r in got) == [(1, "", 1, "c", 2.0), (1, "1.1", 1, "b", 0.0), (1, "1.1", 2, "a", 2.0)]
-    questions, _ = pipeline.write_questions(index, 1, lambda m, j: json.dumps([ITEM]), pipeline.retrieve(index, targets, lambda texts: [[0.0, 1.0]] * len(texts), 5), use_passages=True)
+    chunks = targets.withColumn("chunk_id", F.lit("x"))
+    questions, replies = pipeline.generate_questions(chunks, 1, lambda m, j: json.dumps([ITEM]), use_passages=True, index=index, model=lambda texts: [[0.0, 1.0]] * len(texts))
     assert sorted(r["source_ref"] for r in questions.collect()) == ["b", "c"]
+    assert sorted(r["status"] for r in replies.collect()) == ["no passages", "ok", "ok"]
+    counts = generation.run_counters(replies, questions).first()
+    assert (counts["n_prompts"], counts["n_answered"], counts["n_failed"], counts["n_questions"], counts["n_not_grounded"]) == (3, 2, 1, 2, 2)
+    for missing in ({"index": index}, {"model": len}, {}):
+        with pytest.raises(ValueError):
+            pipeline.generate_questions(chunks, 1, lambda m, j: "", use_passages=True, **missing)
+
+
+def test_command_line_with_passages(spark, book, tmp_path, monkeypatch):
+    monkeypatch.setattr(command_line, "local_session", lambda: spark)
+    monkeypatch.setattr(command_line, "release", lambda s: True)
+    monkeypatch.setattr(command_line.chat, "transport", lambda s: lambda m, j: json.dumps({"questions": [ITEM]}))
+    out, index = str(tmp_path / "out" / "quiz.json"), str(tmp_path / "index")
+    for _ in range(2):  # the second run keeps the index
+        assert command_line.main([book, "--rag", "--rag-top-k", "2", "--index-dir", index, "--output", out, "--show", "1", "-v", "--chapters", "1", "--config", str(tmp_path / "none.yaml")]) == 0
+    held = json.loads((tmp_path / "out" / "quiz.json").read_text())
+    assert held["title"] == "Quiz — Chapters 1" and held["blueprint"] == {"chapters": [1], "per_chunk": 2, "total_chunks": spark.read.parquet(index).count(), "generation_mode": "RAG", "rag_top_k": 2, "grounding_check": True}
+    assert [q["source_ref"] for q in held["questions"]] == ["ch1_s1.1_chunk_001"]
+    assert command_line.main([book, "--rag", "--no-rag", "--output", out]) == 0
+    assert json.loads((tmp_path / "out" / "quiz.json").read_text())["blueprint"]["generation_mode"] == "single-chunk"
+    assert command_line.main([book, "--ingest-only", "--export-schemas", str(tmp_path / "schemas")]) == 0 and (tmp_path / "schemas" / "quiz.schema.json").exists()
+
+
+def test_many_pdf_books(spark, tmp_path):
+    books = {"a.pdf": ([(1, "1 Search", 1), (2, "1.1 Trees", 1), (2, "1.2 Leaves", 2)], ["A tree has nodes. " * 30, "A leaf has none. " * 30]), "b.pdf": ([(1, "1 Logic", 1), (1, " 2 Rules", 3)], ["A rule holds. " * 30, "", "A fact is true. " * 30])}
+    for name in books:
+        (tmp_path / name).write_bytes(name.encode())
+    got = ingest(spark, f"{tmp_path}/*.pdf", [1, 2], opener=lambda content: books[content.decode()]).collect()
+    seen = {(r["book"].rsplit("/", 1)[-1], r["chapter_num"], r["section_label"], r["page_start"], r["page_end"], r["text"].split(".")[0]) for r in got}
+    assert seen == {("a.pdf", 1, "1.1", 1, 1, "A tree has nodes"), ("a.pdf", 1, "1.2", 2, 2, "A leaf has none"), ("b.pdf", 1, "1.0", 1, 2, "A rule holds"), ("b.pdf", 2, "2.0", 3, 3, "A fact is true")}
+    for numbers in ([], [9]):
+        with pytest.raises(ValueError):
+            ingest(spark, f"{tmp_path}/*.pdf", numbers, opener=lambda content: books[content.decode()])
+    with pytest.raises(ValueError):
+        ingest(spark, f"{tmp_path}/a.pdf", opener=lambda content: ([], ["text"]))
+
+
+def test_chat(monkeypatch):
+    sent = []
+    monkeypatch.setattr(command_line.chat, "_post", lambda settings, path, body: sent.append((path, body)) or {"choices": [{"message": {"content": None}}], "data": [{"index": i, "embedding": [float(i)]} for i in reversed(range(len(body.get("input", []))))]})
+    settings = Settings(model="m", embedding_model="e")
+    assert command_line.chat.chat(settings, []) == "" and command_line.chat.chat(settings, [], True, 0.1, 7, seed=3) == ""
+    assert (sent[0][1]["temperature"], sent[0][1]["max_tokens"]) == (0.7, 2048) and "response_format" not in sent[0][1]
+    assert (sent[1][1]["temperature"], sent[1][1]["max_tokens"], sent[1][1]["seed"]) == (0.1, 7, 3) and sent[1][1]["response_format"] == {"type": "json_object"}
+    assert command_line.chat.embedder(settings)(["x"] * 65)[:2] == [[0.0], [1.0]] and [len(b["input"]) for p, b in sent if p == "/embeddings"] == [64, 1]
+
+
+def test_a_cluster_must_name_the_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    other = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(ValueError):
-        pipeline.write_questions(index, 1, lambda m, j: "", use_passages=True)
+        session.shared_folder(other)
+    kept = session.written(spark.range(3), "x")
+    assert kept.count() == 3 and session.run_folder(spark) in kept.inputFiles()[0]
 
 
 def test_structured_replies():

@@ -86,3 +86,15 @@ def test_report(spark):
     orphans = find_orphans(refs, spark.createDataFrame([("x", 1, None, None)], TARGETS), {"a": "a"})
     got = {r["b"]: (r["n_references"], r["n_missing"], r["n_orphans"]) for r in orphan_report(orphans, refs, ["b"]).collect()}
     assert got == {1: (2, 1, 1), 2: (1, 1, 1)}
+
+
+def test_every_table_is_read_once(spark, tmp_path):
+    refs, targets = str(tmp_path / "refs"), str(tmp_path / "targets")
+    spark.createDataFrame([(1, "a", None, 3), (2, None, 2, None), (3, "b", 9, 1)], "id int, x string, y int, z int").write.parquet(refs)
+    spark.createDataFrame([("a", 1, 3), ("b", 2, None)], "x string, y int, z int").write.parquet(targets)
+    found = find_orphans(spark.read.parquet(refs), spark.read.parquet(targets), {c: c for c in "xyz"}, match="partial")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # what is read twice is the written list of references; their table is no part of the plan, the targets are once
+    files = found.inputFiles()
+    assert plan.count("Relation") == 4 and not any(refs in f for f in files) and any(targets in f for f in files) and plan.count("Join") == 3
+    assert sorted(r["id"] for r in found.collect()) == [3]
