@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemforge.llm import bpe, near_duplicates, packing, pairs, proportions, splitting, truncation
+from stemforge.session import written
 from stemforge.sources.tables import table
 
 _DIMENSIONS = {"difficulty": "difficulty", "chapters": "chapter", "bloom_level": "bloom_level"}
@@ -13,10 +14,10 @@ SIMILARITY = 0.7
 
 
 def _allocated(spark: SparkSession, d: str) -> DataFrame:
-    targets = proportions.blueprint_targets(table(spark, d, "quizzes"))
-    wanted = targets.select("group", "dimension", "category")
-    counts = proportions.count_categories(table(spark, d, "questions"), "bank_id", "id", _DIMENSIONS, wanted)
-    return proportions.quotas(targets, counts)
+    """Quotas of every blueprint, written once for all that is made of them."""
+    targets = written(proportions.blueprint_targets(table(spark, d, "quizzes")), "targets")
+    counts = proportions.count_categories(table(spark, d, "questions"), "bank_id", "id", _DIMENSIONS, targets.select("group", "dimension", "category"))
+    return written(proportions.quotas(targets, counts), "quotas")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +26,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return _allocated(spark, d).withColumnsRenamed({"sample": "quiz_id", "group": "bank_id"})
+    """What every category of a blueprint needs, has and lacks; the quotas are in p1_joint."""
+    return _allocated(spark, d).drop("quota").withColumnsRenamed({"sample": "quiz_id", "group": "bank_id"})
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +36,12 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return proportions.draw(allocated, people).withColumnsRenamed({"sample": "quiz_id", "key": "id"})
 
 
+def p1_joint(spark: SparkSession, d: str) -> DataFrame:
+    """How near one set of questions for each quiz comes to the quotas of all its dimensions together."""
+    drawn, report = proportions.draw_jointly(_allocated(spark, d), table(spark, d, "questions"), "bank_id", "id", _DIMENSIONS)
+    return report.withColumnsRenamed({"sample": "quiz_id", "group": "bank_id"})
+
+
 def _options(spark: SparkSession, d: str, name: str = "default") -> tuple[int, int, int]:
     """Limit, overlap and least size of one option set; the table is fixed, three rows."""
     row = table(spark, d, "chunk_options").where(F.col("option_set") == name).first()
@@ -94,6 +102,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p1_sample": p1_sample,
+    "p1_joint": p1_joint,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,
@@ -106,18 +115,19 @@ QUERIES = {
 }
 
 _TARGETS_SQL = r"""
-WITH b AS (SELECT DISTINCT quiz_id, TRY_CAST(blueprint AS JSON) AS j FROM quizzes),
-d AS (SELECT quiz_id, j->>'bank_id' AS bank_id, CAST(j->>'total_questions' AS DOUBLE) AS total, coalesce(CAST(j->>'min_per_category' AS DOUBLE), 0) AS floor, dim, json_extract(j, '$.' || dim) AS shares
+WITH b AS (SELECT DISTINCT quiz_id, md5(blueprint) AS blueprint, TRY_CAST(blueprint AS JSON) AS j FROM quizzes),
+d AS (SELECT quiz_id, blueprint, j->>'bank_id' AS bank_id, CAST(j->>'total_questions' AS DOUBLE) AS total, coalesce(CAST(j->>'min_per_category' AS DOUBLE), 0) AS floor, dim, json_extract(j, '$.' || dim) AS shares
   FROM b, (VALUES ('difficulty'), ('chapters'), ('bloom_level')) t(dim) WHERE json_type(j) = 'OBJECT' AND j->>'bank_id' IS NOT NULL AND j->>'total_questions' IS NOT NULL),
 k AS (SELECT *, unnest(json_keys(shares)) AS raw FROM d WHERE json_type(shares) = 'OBJECT'),
-w AS (SELECT quiz_id, bank_id, total, floor, dim AS dimension, lower(trim(raw)) AS category, sum(CAST(json_extract_string(shares, '$."' || raw || '"') AS DOUBLE)) AS weight FROM k GROUP BY ALL),
-n AS (SELECT *, greatest(floor, coalesce(round(weight * total / nullif(sum(weight) OVER (PARTITION BY quiz_id, bank_id, total, floor, dimension), 0)), 0)) AS needed FROM w),
+w AS (SELECT quiz_id, blueprint, bank_id, total, floor, dim AS dimension, lower(trim(raw)) AS category, sum(CAST(json_extract_string(shares, '$."' || raw || '"') AS DOUBLE)) AS weight FROM k GROUP BY ALL),
+n AS (SELECT *, greatest(floor, coalesce(round(weight * total / nullif(sum(weight) OVER (PARTITION BY quiz_id, blueprint, bank_id, total, floor, dimension), 0)), 0)) AS needed FROM w),
 m AS (SELECT bank_id, 'difficulty' AS dimension, lower(trim(difficulty)) AS category, id FROM questions UNION SELECT bank_id, 'bloom_level', lower(trim(bloom_level)), id FROM questions UNION SELECT bank_id, 'chapters', CAST(chapter AS VARCHAR), id FROM questions),
 c AS (SELECT bank_id, dimension, category, count(DISTINCT id) AS available FROM m GROUP BY ALL)
 """
 
 ORACLE = {
     "p1_found": _TARGETS_SQL + "SELECT DISTINCT quiz_id, dimension, category FROM n LEFT JOIN c USING (bank_id, dimension, category) WHERE coalesce(available, 0) < needed",
+    "p1_report": _TARGETS_SQL + "SELECT quiz_id, blueprint, bank_id, dimension, category, total, CAST(ceil(round(needed, 6)) AS INTEGER) AS needed, CAST(coalesce(available, 0) AS INTEGER) AS available, CAST(greatest(ceil(round(needed, 6)) - coalesce(available, 0), 0) AS INTEGER) AS shortfall FROM n LEFT JOIN c USING (bank_id, dimension, category)",
     "p2_found": r"SELECT DISTINCT chunk_id FROM chunks WHERE length(regexp_replace(regexp_replace(text, '[\p{L}\p{N}_]+', 'x', 'g'), '[\s\p{Z}]', '', 'g')) > (SELECT max_tokens FROM chunk_options WHERE option_set = 'default')",
     "p4_found": r"""WITH t AS (SELECT id, lower(concat_ws(' ', stem, array_to_string(options, ' '))) AS text FROM questions),
 w AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS word FROM t), s AS (SELECT id, count(*) AS n FROM w GROUP BY id),

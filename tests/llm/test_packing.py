@@ -55,3 +55,15 @@ def test_empty_inputs(spark):
     assert packing.pack_items(items, "id", "n", kinds.limit(0), "kind", "cap").count() == 0
     report = packing.fill_report(packing.pack_items(items, "id", "n", kinds, "kind", "cap"), kinds, "kind", "cap").first()
     assert (report["n_containers"], report["unused_share"]) == (1, 0.5)
+
+
+@pytest.mark.parametrize(("n", "most"), [(1000, 0.03), (6000, 0.01)])
+def test_blocks_leave_little_room(spark, n, most):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(s)) for i, s in enumerate(np.minimum(rng.lognormal(4.5, 0.9, n), 5000))]
+    items = spark.createDataFrame(rows, "id long, n int")
+    kinds = spark.createDataFrame([("small", 512, None), ("large", 2048, None)], KINDS)
+    packed = packing.pack_items(items, "id", "n", kinds, "kind", "cap")
+    assert packed.selectExpr("split(container_id, '-')[0] AS block").distinct().count() > 1
+    report = {r["kind"]: r for r in packing.fill_report(packed.withColumnRenamed("n", "n_tokens") if "n" in packed.columns else packed, kinds, "kind", "cap").collect()}
+    assert all(r["unused_share"] < most and r["n_tokens"] == sum(s for _, s in rows) for r in report.values()), report

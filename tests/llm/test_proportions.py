@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from stemforge.llm import proportions as p
 
 BLUEPRINTS = [
@@ -7,6 +9,7 @@ BLUEPRINTS = [
     ("a", '{"bank_id": "b1", "total_questions": 10, "min_per_category": 2, "difficulty": {"Easy": 50, "hard ": 50, "none": 0}, "chapters": {" 2": 1}}'),
     ("b", '{"bank_id": "b1", "total_questions": 3, "difficulty": {"easy": 0.2, "EASY": 0.1, "hard": 0.7}}'),
     ("c", None), ("d", ""), ("e", '{"bank_id": "b1", "total_questions": 5, "difficulty": {"easy"'), ("f", "[1]"), ("g", '{"bank_id": "b1", "difficulty": {"easy": 1}}'), ("h", '{"total_questions": 5, "difficulty": {"easy": 1}}'),
+    ("k", '{"bank_id": "b1", "total_questions": 4, "min_per_category": 1.5, "difficulty": {"easy": 1, "hard": 0}}'), ("k", '{"bank_id": "b1", "total_questions": 6, "difficulty": {"easy": 1, "hard": 1}}'),
     ("i", '{"bank_id": "zz", "total_questions": 4, "bloom_level": {"apply": "100%"}, "difficulty": null}'), ("j", '"text"'),
 ]
 
@@ -44,7 +47,10 @@ def allocated(spark):
 
 
 def test_needs_and_shortfalls(spark):
-    got = {(r["sample"], r["dimension"], r["category"]): (r["needed"], r["available"], r["quota"], r["shortfall"]) for r in allocated(spark)[0].collect()}
+    rows = allocated(spark)[0].collect()
+    # a quiz that came with two blueprints has both; a fractional floor is the next whole number
+    assert sorted((r["total"], r["category"], r["needed"], r["quota"]) for r in rows if r["sample"] == "k") == [(4.0, "easy", 4, 2), (4.0, "hard", 2, 2), (6.0, "easy", 3, 3), (6.0, "hard", 3, 3)]
+    got = {(r["sample"], r["dimension"], r["category"]): (r["needed"], r["available"], r["quota"], r["shortfall"]) for r in rows if r["sample"] != "k"}
     assert got == {
         ("a", "difficulty", "easy"): (5, 8, 6, 0), ("a", "difficulty", "hard"): (5, 4, 4, 1), ("a", "difficulty", "none"): (2, 0, 0, 2), ("a", "chapters", "2"): (10, 6, 6, 4),
         ("b", "difficulty", "easy"): (1, 8, 1, 0), ("b", "difficulty", "hard"): (2, 4, 2, 0), ("i", "bloom_level", "apply"): (4, 0, 0, 4),
@@ -56,7 +62,7 @@ def test_draw_takes_the_smallest_keys(spark):
 
     quota, people = allocated(spark)
     got = {}
-    for r in p.draw(quota, people, seed=3).collect():
+    for r in p.draw(quota.where("sample <> 'k'"), people, seed=3).collect():
         got.setdefault((r["sample"], r["dimension"], r["category"]), set()).add(r["key"])
     order = sorted((f"q{i}" for i in range(12) if i % 3), key=lambda k: hashlib.md5(f"3:{k}".encode()).hexdigest())
     assert got[("a", "difficulty", "easy")] == set(order[:6]) and got[("b", "difficulty", "easy")] == set(order[:1])
@@ -67,3 +73,55 @@ def test_empty(spark):
     quizzes, items = frames(spark)
     targets = p.blueprint_targets(quizzes.limit(0))
     assert p.quotas(targets, p.count_categories(items.limit(0), "bank_id", "id", {"difficulty": "difficulty"}, targets)).count() == 0
+
+
+def many(spark, n=6000):
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"q{i}", "b", rng.choice(["easy"] * 8 + ["hard"]), rng.randrange(1, 5), rng.choice(["apply", "create", None])) for i in range(n)]
+    quizzes = [("one", '{"bank_id": "b", "total_questions": 40, "difficulty": {"easy": 1, "hard": 1}, "chapters": {"1": 2, "2": 1, "3": 1}}'), ("two", '{"bank_id": "b", "total_questions": 900, "difficulty": {"hard": 1}, "bloom_level": {"apply": 1}}'), ("none", '{"bank_id": "z", "total_questions": 3, "difficulty": {"hard": 1}}')]
+    return rows, spark.createDataFrame(rows, "id string, bank string, d string, c int, l string"), spark.createDataFrame(quizzes, "quiz_id string, blueprint string")
+
+
+DIMS = {"difficulty": "d", "chapters": "c", "bloom_level": "l"}
+
+
+@pytest.mark.parametrize("slack", [True, False])
+def test_draw_behind_a_threshold(spark, monkeypatch, slack):
+    import hashlib
+
+    if not slack:  # thresholds that let too few pass, and no broadcast
+        monkeypatch.setattr(p, "SLACK", 0.3)
+        monkeypatch.setattr(p, "SPARE", 0)
+        monkeypatch.setattr(p, "BROADCAST_ROWS", -1)
+    rows, items, quizzes = many(spark)
+    targets = p.blueprint_targets(quizzes)
+    quota = p.quotas(targets, p.count_categories(items, "bank", "id", DIMS, targets))
+    got: dict = {}
+    for r in p.draw(quota, p.members(items, "bank", "id", DIMS, targets)).collect():
+        got.setdefault((r["sample"], r["dimension"], r["category"]), []).append((r["draw_rank"], r["key"]))
+    for r in quota.collect():
+        at = {"difficulty": 2, "chapters": 3, "bloom_level": 4}[r["dimension"]]
+        known = sorted((hashlib.md5(f"1:{x[0]}".encode()).hexdigest()[:13], x[0]) for x in rows if str(x[at]) == r["category"] and r["group"] == "b")
+        assert r["quota"] <= len(known) == r["available"]
+        assert sorted(got.get((r["sample"], r["dimension"], r["category"]), [])) == [(i, k) for i, (_, k) in enumerate(known[: r["quota"]], 1)]
+
+
+def test_one_set_for_all_dimensions(spark):
+    rows, items, quizzes = many(spark)
+    targets = p.blueprint_targets(quizzes)
+    quota = p.quotas(targets, p.count_categories(items, "bank", "id", DIMS, targets))
+    drawn, report = p.draw_jointly(quota, items, "bank", "id", DIMS)
+    keys: dict = {}
+    for r in drawn.collect():
+        keys.setdefault(r["sample"], []).append(r["key"])
+    assert len(keys["one"]) == len(set(keys["one"])) == 40 and "none" not in keys
+    of = {x[0]: x for x in rows}
+    told = {(r["sample"], r["dimension"], r["category"]): (r["quota"], r["drawn"], r["missed"]) for r in report.collect()}
+    for (sample, dimension, category), (want, n, missed) in told.items():
+        at = {"difficulty": 2, "chapters": 3, "bloom_level": 4}[dimension]
+        assert n == sum(str(of[k][at]) == category for k in keys.get(sample, [])) and missed == max(want - n, 0)
+        if sample == "one":
+            assert abs(want - n) <= 2
+    assert p.draw_jointly(quota.limit(0), items, "bank", "id", DIMS)[0].count() == 0
