@@ -22,7 +22,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,6 +219,20 @@ def vocabulary_path(tokenizer: str, folder: str = FOLDER) -> str:
     return f"{folder}/{tokenizer}.json"
 
 
+def shipped_vocabulary(tokenizer: str, folder: str = FOLDER) -> str:
+    """The vocabulary file, which Spark also brings to every executor, so that only the driver needs the folder."""
+    path, session = vocabulary_path(tokenizer, folder), SparkSession.getActiveSession()
+    if session is not None and os.path.exists(path):
+        session.sparkContext.addFile(path)
+    return path
+
+
+def _at_hand(path: str) -> str:
+    """Within a task: the copy that Spark brought, else the file itself."""
+    brought = SparkFiles.get(os.path.basename(path))
+    return brought if os.path.exists(brought) else path
+
+
 #: Characters of one block of texts that is split and merged together.
 BLOCK_CHARS = 4_000_000
 
@@ -253,13 +268,13 @@ def encode_corpus(documents: DataFrame, key: str, text: str, tokenizer: str = "b
     list. Every row is kept, repeated rows and null keys too; other columns are not read. Work is one
     pass over the scan's partitions, without a shuffle.
     """
-    path = vocabulary_path(tokenizer, folder)
+    path = shipped_vocabulary(tokenizer, folder)
     kind = documents.schema[key].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), encode_column(texts, path)], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), encode_column(texts, _at_hand(path))], names=[key, "ids"])
 
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")).mapInArrow(encode, schema)
@@ -267,11 +282,11 @@ def encode_corpus(documents: DataFrame, key: str, text: str, tokenizer: str = "b
 
 def token_lengths(text: Column, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> Column:
     """Number of tokens of each text as a column; null and empty texts have 0."""
-    path = vocabulary_path(tokenizer, folder)
+    path = shipped_vocabulary(tokenizer, folder)
 
     @F.pandas_udf(T.IntegerType())
     def lengths(texts: pd.Series) -> pd.Series:
-        enc, out = encoder(path), []
+        enc, out = encoder(_at_hand(path)), []
         for block in _blocks(texts.where(texts.notna(), None).tolist()):
             out.extend(sum(map(len, pieces)) for pieces in enc(block))
         return pd.Series(out, dtype="int32")
