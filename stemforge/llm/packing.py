@@ -105,7 +105,8 @@ def pack_items(items: DataFrame, key: str, size: str, containers: DataFrame, kin
     def dealt(rows: DataFrame, *by: str) -> DataFrame:
         n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
         blocks = max(1, -(-n // block_items), min(cores, n // LEAST_ITEMS))
-        return rows.withColumn("block", F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(blocks))).repartition(blocks, "block")
+        # a block to a partition, so that no task gets two
+        return rows.withColumn("block", F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
 
     def shuffled(table: pa.Table, *by: str) -> pa.Table:
         # the order within a block follows from the items alone, whatever order they arrive in
