@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemforge.functions.skew import salted
 from stemforge.functions.text import word_set
 from stemforge.session import written
 
@@ -337,7 +338,9 @@ def similar_pairs(items: DataFrame, key: str, text: Column, threshold: float) ->
     pairs, of = similar_classes(sets, threshold), sets.select("class", "key").distinct()
     one, two = of.select(F.col("class").alias("a"), F.col("key").alias("x")), of.select(F.col("class").alias("b"), F.col("key").alias("y"))
     apart = pairs.join(one, "a").join(two, "b").select("x", "y", "similarity")
-    equal = of.select("class", F.col("key").alias("x")).join(of.select("class", F.col("key").alias("y")), "class").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    # the copies of one text meet each other; of a text with many, in as many tasks as its class has parts
+    left, right = salted(of.select("class", F.col("key").alias("x")), of.select("class", F.col("key").alias("y")), ["class"], ["x"])
+    equal = left.join(right, ["class", "_salt"]).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     both = apart.unionByName(equal).where("x <> y")
     return both.groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
