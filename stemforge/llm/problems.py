@@ -16,7 +16,7 @@ SIMILARITY = 0.7
 def _allocated(spark: SparkSession, d: str) -> DataFrame:
     """Quotas of every blueprint, written once for all that is made of them."""
     targets = written(proportions.blueprint_targets(table(spark, d, "quizzes")), "targets")
-    counts = proportions.count_categories(table(spark, d, "questions"), "bank_id", "id", _DIMENSIONS, targets.select("group", "dimension", "category"))
+    counts = proportions.count_categories(table(spark, d, "questions"), "bank_id", "id", _DIMENSIONS)
     return written(proportions.quotas(targets, counts), "quotas")
 
 
@@ -32,7 +32,7 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     allocated = _allocated(spark, d)
-    people = proportions.members(table(spark, d, "questions"), "bank_id", "id", _DIMENSIONS, allocated)
+    people = proportions.members(table(spark, d, "questions"), "bank_id", "id", _DIMENSIONS)
     return proportions.draw(allocated, people).withColumnsRenamed({"sample": "quiz_id", "key": "id"})
 
 

@@ -20,8 +20,6 @@ from stemforge.session import written
 
 #: How many more keys than a quota asks for a threshold lets pass on average, as a factor and as keys beside it.
 SLACK, SPARE = 1.5, 30
-#: Wanted categories up to this number are broadcast, beyond it they are shuffled, hot ones split.
-BROADCAST_ROWS = 100_000
 _KEYS, _SAMPLE = ["group", "dimension", "category"], ["sample", "blueprint"]
 
 
@@ -69,29 +67,20 @@ def allocate(weights: Sequence[float], available: Sequence[int], total: int, flo
     return whole.tolist()
 
 
-def count_categories(items: DataFrame, group: str, key: str, dimensions: dict[str, str], wanted: DataFrame | None = None) -> DataFrame:
+def count_categories(items: DataFrame, group: str, key: str, dimensions: dict[str, str]) -> DataFrame:
     """Distinct ``key`` per (group, dimension, category) as ``available``.
 
     ``dimensions`` maps names to columns. Categories are trimmed and lower-cased; a null group, key or
-    category is not counted. With ``wanted`` (columns group, dimension, category), others are left out
-    before the count. Counts are of distinct keys: first of (category, key), then of keys, so that a
-    hot category is spread over all tasks.
+    category is not counted. Counts are of distinct keys: first of (category, key), then of keys, so that
+    a hot category is spread over all tasks, and a count for each of their categories is all they send on.
     """
-    return members(items, group, key, dimensions, wanted).groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("available"))
+    return members(items, group, key, dimensions).groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("available"))
 
 
-def members(items: DataFrame, group: str, key: str, dimensions: dict[str, str], wanted: DataFrame | None = None) -> DataFrame:
+def members(items: DataFrame, group: str, key: str, dimensions: dict[str, str]) -> DataFrame:
     """Distinct (group, dimension, category, key) of ``items``."""
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), normal(F.col(f"`{c}`")).alias("category")) for d, c in dimensions.items()])).alias("_p")
-    rows = items.select(F.col(f"`{group}`").alias("group"), F.col(f"`{key}`").alias("key"), pairs).select("group", "_p.dimension", "_p.category", "key").dropna()
-    if wanted is None:
-        return rows.distinct()
-    asked = wanted.select(*_KEYS).distinct()
-    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(asked), _KEYS, "left_semi").distinct()
-    # beyond that rows are folded first, then a hot category is spread over many tasks by its keys
-    left, right = salted(written(rows.distinct(), "members"), asked, _KEYS, ["key"])
-    return left.join(right, [*_KEYS, "_salt"], "left_semi").drop("_salt")
+    return items.select(F.col(f"`{group}`").alias("group"), F.col(f"`{key}`").alias("key"), pairs).select("group", "_p.dimension", "_p.category", "key").dropna().distinct()
 
 
 def quotas(targets: DataFrame, counts: DataFrame) -> DataFrame:
@@ -139,7 +128,9 @@ def draw(allocated: DataFrame, population: DataFrame, seed: int = 1) -> DataFram
     """
     most = allocated.groupBy(*_KEYS).agg(F.max("quota").alias("most"), F.max("available").alias("available")).where("most > 0")
     below = F.least(F.lit(1.0), (F.col("most") * SLACK + SPARE) / F.col("available"))
-    keyed = written(population.join(F.broadcast(most) if most.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else most, _KEYS).withColumns({"random": _random(seed), "below": below}), "drawn-from")
+    # the keys of a hot category are held against its threshold in many tasks
+    left, right = salted(written(population, "members"), most.withColumn("below", below), _KEYS, ["key"])
+    keyed = written(left.join(right, [*_KEYS, "_salt"]).drop("_salt").withColumn("random", _random(seed)), "drawn-from")
     near = keyed.where("random <= below")
     # every key under the threshold is counted before any is ranked; short categories take all of theirs
     short = near.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).join(most, _KEYS, "right").where("coalesce(n, 0) < least(most, available)").select(*_KEYS)
@@ -165,7 +156,9 @@ def draw_jointly(allocated: DataFrame, items: DataFrame, group: str, key: str, d
     rows = items.select(F.col(f"`{group}`").alias("group"), F.col(f"`{key}`").alias("key"), *cells).dropna(subset=["group", "key"])
     # of the rows of one key, the first by its categories counts
     rows = rows.groupBy("group", "key").agg(F.min(F.struct(*names)).alias("cell"))
-    rows = written(rows.join(allocated.select("group").distinct(), "group", "left_semi"), "cells")
+    # a hot group, and later a hot cell, is held against its targets in many tasks
+    left, right = salted(written(rows, "items"), allocated.select("group").distinct(), ["group"], ["key"])
+    rows = written(left.join(right, ["group", "_salt"], "left_semi").drop("_salt"), "cells")
     sizes = rows.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("size"))
     wanted = allocated.groupBy(*_SAMPLE, "group").agg(F.first("total").alias("total"), F.collect_list(F.struct("dimension", "category", "quota")).alias("targets"))
     lists = wanted.join(sizes.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("cell", "size"))).alias("cells")), "group")
@@ -177,7 +170,8 @@ def draw_jointly(allocated: DataFrame, items: DataFrame, group: str, key: str, d
     each = lists.select(*_SAMPLE, "group", F.explode(F.arrays_zip("cells", fitted("targets", "cells", "total").alias("n"))).alias("z"))
     each = each.select(*_SAMPLE, "group", F.col("z.cells.cell").alias("cell"), F.col("z.cells.size").alias("size"), F.col("z.n").alias("n")).where("n > 0")
     most = each.groupBy("group", "cell").agg(F.max("n").alias("most"), F.max("size").alias("size"))
-    near = rows.join(most, ["group", "cell"]).withColumn("random", _random(seed))
+    left, right = salted(rows, most, ["group", "cell"], ["key"])
+    near = left.join(right, ["group", "cell", "_salt"]).drop("_salt").withColumn("random", _random(seed))
     # as in draw(): a threshold first, and all keys of a cell where it lets too few pass
     near = near.withColumn("below", F.least(F.lit(1.0), (F.col("most") * SLACK + SPARE) / F.col("size")))
     passed = near.where("random <= below")

@@ -43,7 +43,7 @@ def allocated(spark):
     quizzes, items = frames(spark)
     targets = p.blueprint_targets(quizzes)
     dims = {"difficulty": "difficulty", "chapters": "chapter", "bloom_level": "difficulty"}
-    return p.quotas(targets, p.count_categories(items, "bank_id", "id", dims, targets)), p.members(items, "bank_id", "id", dims, targets)
+    return p.quotas(targets, p.count_categories(items, "bank_id", "id", dims)), p.members(items, "bank_id", "id", dims)
 
 
 def test_needs_and_shortfalls(spark):
@@ -72,7 +72,7 @@ def test_draw_takes_the_smallest_keys(spark):
 def test_empty(spark):
     quizzes, items = frames(spark)
     targets = p.blueprint_targets(quizzes.limit(0))
-    assert p.quotas(targets, p.count_categories(items.limit(0), "bank_id", "id", {"difficulty": "difficulty"}, targets)).count() == 0
+    assert p.quotas(targets, p.count_categories(items.limit(0), "bank_id", "id", {"difficulty": "difficulty"})).count() == 0
 
 
 def many(spark, n=6000):
@@ -91,15 +91,14 @@ DIMS = {"difficulty": "d", "chapters": "c", "bloom_level": "l"}
 def test_draw_behind_a_threshold(spark, monkeypatch, slack):
     import hashlib
 
-    if not slack:  # thresholds that let too few pass, and no broadcast
+    if not slack:  # thresholds that let too few pass
         monkeypatch.setattr(p, "SLACK", 0.3)
         monkeypatch.setattr(p, "SPARE", 0)
-        monkeypatch.setattr(p, "BROADCAST_ROWS", -1)
     rows, items, quizzes = many(spark)
     targets = p.blueprint_targets(quizzes)
-    quota = p.quotas(targets, p.count_categories(items, "bank", "id", DIMS, targets))
+    quota = p.quotas(targets, p.count_categories(items, "bank", "id", DIMS))
     got: dict = {}
-    for r in p.draw(quota, p.members(items, "bank", "id", DIMS, targets)).collect():
+    for r in p.draw(quota, p.members(items, "bank", "id", DIMS)).collect():
         got.setdefault((r["sample"], r["dimension"], r["category"]), []).append((r["draw_rank"], r["key"]))
     for r in quota.collect():
         at = {"difficulty": 2, "chapters": 3, "bloom_level": 4}[r["dimension"]]
@@ -111,7 +110,7 @@ def test_draw_behind_a_threshold(spark, monkeypatch, slack):
 def test_one_set_for_all_dimensions(spark):
     rows, items, quizzes = many(spark)
     targets = p.blueprint_targets(quizzes)
-    quota = p.quotas(targets, p.count_categories(items, "bank", "id", DIMS, targets))
+    quota = p.quotas(targets, p.count_categories(items, "bank", "id", DIMS))
     drawn, report = p.draw_jointly(quota, items, "bank", "id", DIMS)
     keys: dict = {}
     for r in drawn.collect():
