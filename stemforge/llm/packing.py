@@ -24,7 +24,7 @@ from stemforge.session import written
 #: Items of a block on average: at most, which bounds a packing task, and at least where the cores are more than the work.
 BLOCK_ITEMS, LEAST_ITEMS = 50_000, 250
 #: Share of the capacity from which on the room left in a bin sends its items into the second round.
-OPEN_SHARE = 0.01
+OPEN_SHARE = 0.005
 
 
 def split_sizes(size: int, capacity: int) -> list[int]:
@@ -102,9 +102,9 @@ def pack_items(items: DataFrame, key: str, size: str, containers: DataFrame, kin
     none = pa.schema(fields).empty_table()
     schema = f"container_kind {kind_type.simpleString()}, container_id string, item_key {key_type.simpleString()}, part int, n_tokens int, is_open boolean"
 
-    def dealt(rows: DataFrame, *by: str) -> DataFrame:
-        n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
-        blocks = max(1, -(-n // block_items), min(cores, n // LEAST_ITEMS))
+    def dealt(rows: DataFrame, tasks: int, *by: str) -> DataFrame:
+        n = rows.count()
+        blocks = max(1, -(-n // block_items), min(tasks, n // LEAST_ITEMS))
         # a block to a partition, so that no task gets two
         return rows.withColumn("block", F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
 
@@ -139,9 +139,10 @@ def pack_items(items: DataFrame, key: str, size: str, containers: DataFrame, kin
                 out.append(mine.select(none.schema.names).set_column(1, "container_id", names).cast(none.schema))
         return pa.concat_tables(out)
 
-    rounds = written(dealt(sized, "key").groupBy("block").applyInArrow(first, schema), "packed")
-    # what is left of every block meets in few; a kind that is null stands for itself
-    again = dealt(rounds.where("is_open and container_kind is not null"), "item_key", "part").groupBy("block").applyInArrow(second, schema)
+    cores = sized.sparkSession.sparkContext.defaultParallelism
+    rounds = written(dealt(sized, cores, "key").groupBy("block").applyInArrow(first, schema), "packed")
+    # what is left of all blocks meets in as few as can hold it; a kind that is null stands for itself
+    again = dealt(rounds.where("is_open and container_kind is not null"), 1, "item_key", "part").groupBy("block").applyInArrow(second, schema)
     out = rounds.where("not is_open or container_kind is null").unionByName(again).drop("is_open")
     return out.withColumnsRenamed({"container_kind": kind, "item_key": key})
 
