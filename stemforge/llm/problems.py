@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stemforge.llm import bpe, near_duplicates, packing, pairs, proportions, splitting, truncation
 from stemforge.session import written
-from stemforge.sources.tables import table
+from stemforge.sources.tables import spread_table, table
 
 _DIMENSIONS = {"difficulty": "difficulty", "chapters": "chapter", "bloom_level": "bloom_level"}
 SIMILARITY = 0.7
@@ -72,11 +72,11 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.find_defects(table(spark, d, "questions"), "id", "stem", "options", "answer", "explanation", "qtype")
+    return pairs.find_defects(spread_table(spark, d, "questions"), "id", "stem", "options", "answer", "explanation", "qtype")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
+    return bpe.encode_corpus(spread_table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -84,18 +84,18 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     out = None
     # one pass for each tokenizer that the fixed table of containers names
     for (name,) in containers.select("tokenizer").distinct().collect():
-        sized = table(spark, d, "documents").select("doc_id", bpe.token_lengths(F.col("text"), name).alias("n_tokens"))
+        sized = spread_table(spark, d, "documents").select("doc_id", bpe.token_lengths(F.col("text"), name).alias("n_tokens"))
         one = packing.pack_items(sized, "doc_id", "n_tokens", containers.where(F.col("tokenizer") == name), "container_kind", "capacity_tokens")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.find_truncated(table(spark, d, "documents"), "doc_id", "text", "source").where("is_cut").select("doc_id")
+    return truncation.find_truncated(spread_table(spark, d, "documents"), "doc_id", "text", "source").where("is_cut").select("doc_id")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.truncation_report(truncation.find_truncated(table(spark, d, "documents"), "doc_id", "text", "source"), "source")
+    return truncation.truncation_report(truncation.find_truncated(spread_table(spark, d, "documents"), "doc_id", "text", "source"), "source")
 
 
 QUERIES = {
