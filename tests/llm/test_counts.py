@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stemforge.llm import endings, pairs
+from stemforge.llm import endings, pairs, truncation
 
 ODD = ["Ⅷ b²c don't x_y 3,4.5 A. B", "N. N 0", "…", "a\n\nB c D.", "a''b 'c' d’e’f 1..2 1,2,3. 4,", "İstanbul ΣΑΣ wörter 中文字 ・ab\x00c", " ", "\n", "one", "\U0001f916 two. 7th", "_", "x" * 3000 + " y"]
 
@@ -47,3 +47,12 @@ def test_defects_count_all_rows(spark):
     df = spark.createDataFrame([(i, "Which one?", None, a, "The qarlon waits.", "cloze") for i, a in answers.items()], "id long, stem string, options array<string>, answer string, explanation string, qtype string")
     got = pairs.find_defects(df, "id", "stem", "options", "answer", "explanation", "qtype").collect()
     assert [tuple(r) for r in got] == [(order[1], "truncated")]
+
+
+def test_truncation_counts_all_rows(spark):
+    order = _after_the_sample(spark, 4400)
+    texts = dict.fromkeys(order, "The robot reads the qarlon of the list. Then the agent waits.") | {i: "The robot reads the qar of it. We saw the qar.\nWe keep the qar\nThen the agent waits." for i in order[-300:]}
+    texts |= {order[0]: "Then it ends. A long closed list that waits holds the qar", order[1]: "Then it ends. One short open list that stays keeps the qarl"}
+    df = spark.createDataFrame(list(texts.items()), "doc long, body string").withColumn("origin", F.lit("a"))
+    got = truncation.find_truncated(df, "doc", "body", "origin").where("is_cut").select("doc", "evidence").collect()
+    assert [tuple(r) for r in got] == [(order[1], "0.001")]
