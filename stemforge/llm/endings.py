@@ -196,6 +196,7 @@ class _Tokens(dict):
     def __init__(self):
         super().__init__()
         self.hashes, self.kinds, self.capital, self.words = [], [], [], []
+        self._arrays = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
 
     def __missing__(self, raw: str) -> int:
         word, kind, capital = raw, _OTHER, False
@@ -214,6 +215,12 @@ class _Tokens(dict):
         self.words.append(word)
         return at
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, kinds and capitals; only new ones are turned into numbers."""
+        done = len(self._arrays[0])
+        self._arrays = tuple(np.concatenate((a, np.array(new[done:], a.dtype))) for a, new in zip(self._arrays, (self.hashes, self.kinds, self.capital)))
+        return self._arrays
+
 
 def _last(where: np.ndarray) -> np.ndarray:
     """At each place the last one up to it where ``where`` holds; -1 before the first."""
@@ -249,6 +256,21 @@ def _kinds(code: np.ndarray) -> np.ndarray:
     return kind
 
 
+class Runs:
+    """Keys of any runs of characters of a text: polynomials of the characters modulo 2**64, as differences of sums."""
+
+    def __init__(self, text: str, code: np.ndarray | None = None):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if code is None else code
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * _powers(_Q_INVERSE, len(code)), dtype=np.uint64)))
+            self.rising = _powers(_Q, len(code) + 1)[1:]
+
+    def keys(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Of the runs from ``first`` to before ``stop``; a text gives the same key wherever it stands."""
+        with np.errstate(over="ignore"):
+            return (self.sums[stop] - self.sums[first]) * self.rising[first]
+
+
 def _numbered(texts: list[str], known: _Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens of the texts in order, and behind how many of them each text ends.
 
@@ -271,11 +293,8 @@ def _numbered(texts: list[str], known: _Tokens) -> tuple[np.ndarray, np.ndarray]
     change = np.append(np.flatnonzero(other), len(code))
     stop = np.where(alone[first], first + 1, change[np.cumsum(other)[first]])
     counts = np.searchsorted(first, ends)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * _powers(_Q_INVERSE, len(code)), dtype=np.uint64)))
-        spelt = (sums[stop] - sums[first]) * _powers(_Q, len(code))[first]
-    _, some, which = np.unique(spelt, return_index=True, return_inverse=True)
-    number = np.fromiter((known[whole[i:j]] for i, j in zip(first[some].tolist(), stop[some].tolist())), np.int64, len(some))
+    _, some, which = np.unique(Runs(whole, code).keys(first, stop), return_index=True, return_inverse=True)
+    number = np.array([known[whole[i:j]] for i, j in zip(first[some].tolist(), stop[some].tolist())], np.int64)
     return number[which], counts
 
 
@@ -289,7 +308,7 @@ def _counted(texts: list[str], known: _Tokens, asked: np.ndarray | None) -> tupl
     n = len(number)
     if not n:
         return [np.zeros(0, np.int64)] * 4, [], 0, 0
-    own, kinds = np.array(known.hashes, np.uint64), np.array(known.kinds, np.int8)
+    own, kinds, capital = known.arrays()
     hashes, kind = own[number], kinds[number]
     final = np.zeros(n, bool)
     final[stops[np.diff(stops, prepend=0) > 0] - 1] = True
@@ -298,7 +317,7 @@ def _counted(texts: list[str], known: _Tokens, asked: np.ndarray | None) -> tupl
     first = np.concatenate(([True], final[:-1]))
     line = _last(first | np.concatenate(([False], newline[:-1])))
     begin = _last(first | np.concatenate(([False], over[:-1])))
-    name = letters & np.array(known.capital, bool)[number] & (np.concatenate(([-1], _last(letters)[:-1])) >= begin)
+    name = letters & capital[number] & (np.concatenate(([-1], _last(letters)[:-1])) >= begin)
     hashes[name] = _digest("N")
     ended = final | np.concatenate((over[1:], [False]))
     at = np.flatnonzero(~over & (~final | name | (kind == _NUMBER)))
@@ -328,7 +347,7 @@ def _counted(texts: list[str], known: _Tokens, asked: np.ndarray | None) -> tupl
             keys, e = (sums[to + 1] - sums[since]) * rising[to] ^ np.uint64(mark), ended[to]
             total, ends = total + len(to), ends + int(e.sum())
             if asked is not None:
-                let = np.flatnonzero(_passes(keys, asked))
+                let = np.flatnonzero(passes(keys, asked))
                 keys, e = keys[let], e[let]
             held.append((keys, e))
     keys, e = (np.concatenate(x) for x in zip(*held))
@@ -353,7 +372,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _powers_to(base, 1 << max(16, n - 1).bit_length())[:n]
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[str]]:
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[str]]:
     """Texts of the first column, as many at once as have SLICE_CHARS characters together."""
     held, size = [], 0
     for batch in batches:
@@ -379,7 +398,7 @@ def count_contexts(texts: DataFrame, text: Column, asked: Broadcast | None = Non
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Tokens()
-        for some in _slices(batches):
+        for some in slices(batches):
             if len(known) > KEPT_TOKENS:
                 known = _Tokens()
             columns, words, *total = _counted(some, known, None if asked is None else asked.value)
@@ -400,14 +419,15 @@ def fit(texts: DataFrame, text: Column, key: Column | None = None) -> Endings:
     return Endings(*(table[c].to_numpy() for c in ("key", "seen", "ended")), words, *(pc.sum(total[c]).as_py() or 0 for c in ("seen", "ended")))
 
 
-def _passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys a filter (see :func:`key_filter`) lets through."""
     place = keys >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def key_filter(keys: DataFrame, n: int) -> Broadcast:
+def key_filter(keys: DataFrame, n: int, key_bits: int = KEY_BITS) -> Broadcast:
     """A bitmap over the first bits of ``n`` keys (column ``key``), made in tasks and handed to all of them."""
-    size = min(MOST_BITS, max(LEAST_BITS, (n * KEY_BITS).bit_length()))
+    size = min(MOST_BITS, max(LEAST_BITS, (n * key_bits).bit_length()))
     place = F.shiftrightunsigned("key", 64 - size)
     words = keys.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("bit"))
     table = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()

@@ -8,7 +8,7 @@ where the paragraph, the list item or the heading ends, for then it was a slip a
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from typing import NamedTuple
 
 #: Brackets and quotation marks, opener to closers.
@@ -35,8 +35,8 @@ _SIGN = re.compile(
     re.VERBOSE | re.DOTALL,
 )
 
-#: The characters that a sign begins with.
-_FIRST = re.compile(r"""[\n`~\\$<*_"()\[\]{}“”«»„「」『』（）【】]""")
+#: What a sign begins with; most lines begin none.
+_FIRST = re.compile(r"""[`~\\$<*_"()\[\]{}“”«»„「」『』（）【】]|\n(?=[ \t>\n`~\-*+•‣#(]|(?:\d{1,3}|[A-Za-z])[.)](?:[ \t\n]|\Z))""")
 _FENCE_END = {c: re.compile(rf"(?m)^[ \t]*{c}{{3,}}[ \t]*$") for c in "`~"}
 _SPAN_END = re.compile(r"`+|\n[ \t]*(?=\n)")
 
@@ -52,20 +52,22 @@ class _Stack:
 
     def __init__(self) -> None:
         self.symbols: list[Symbol] = []
-        self.held: Counter[tuple[str, str]] = Counter()
+        self.held: defaultdict[tuple[str, str], int] = defaultdict(int)
 
     def open(self, kind: str, closer: str, at: int) -> None:
         self.symbols.append(Symbol(kind, closer, at))
-        self.held.update((kind, c) for c in (closer if kind == "bracket" else [closer]))
+        for c in closer if kind == "bracket" else (closer,):
+            self.held[kind, c] += 1
 
     def _pop(self) -> Symbol:
         s = self.symbols.pop()
-        self.held.subtract((s.kind, c) for c in (s.closer if s.kind == "bracket" else [s.closer]))
+        for c in s.closer if s.kind == "bracket" else (s.closer,):
+            self.held[s.kind, c] -= 1
         return s
 
     def close(self, kind: str, closer: str) -> bool:
         """Pops the innermost symbol with this closer, and with it what was opened inside of it."""
-        if self.held[kind, closer] <= 0:
+        if self.held.get((kind, closer), 0) <= 0:
             return False
         at = len(self.symbols) - 1
         while not (self.symbols[at].kind == kind and closer in (self.symbols[at].closer if kind == "bracket" else [self.symbols[at].closer])):
